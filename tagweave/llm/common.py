@@ -13,7 +13,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: At most this many keys can each hold more than 1/HEAVY_KEYS of the rows: the proven
@@ -67,6 +67,15 @@ def heavy_join(left: DataFrame, right: DataFrame, on: list[str], weight: str, to
     return left.join(few, on, "inner").unionByName(left.join(F.broadcast(right.filter(heavy).select(*on)), on, "left_anti").join(many, on, how))
 
 
+def running(df: DataFrame, order: str, value: str, out: str, block: int = 4096) -> DataFrame:
+    """Adds the sum of ``value`` over all rows of smaller ``order`` (distinct, from 0); two levels, so that a task holds 1/block of the rows."""
+    blocked = df.withColumn("_block", (F.col(order) / block).cast("long"))
+    tops = blocked.groupBy("_block").agg(F.sum(value).alias("_n"))
+    tops = tops.select("_block", F.coalesce(F.sum("_n").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inner = F.coalesce(F.sum(value).over(Window.partitionBy("_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return blocked.withColumn("_inner", inner).join(tops, "_block").withColumn(out, F.col("_inner") + F.col("_before")).drop("_block", "_inner", "_before")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

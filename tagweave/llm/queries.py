@@ -6,10 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import decontaminate, host_rules, language, packing, quality, sharding, simhash, suffixes, tokens, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": warc.query,
+    "op2_suffix_array": suffixes.query,
+    "op3_host_rules": host_rules.query,
+    "op4_language": language.query,
+    "op5_decontamination": decontaminate.query,
+    "op6_token_files": tokens.query,
+    "op7_sharding": sharding.query,
+    "op8_quality": quality.query,
+    "op9_packing": packing.query,
     "op10_simhash": simhash.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Models, fingerprints, token ids and balanced maps aren't within SQL: tests hold those against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op1_warc": warc.ORACLE,
+    "op2_suffix_array": suffixes.ORACLE,
+    "op3_host_rules": host_rules.ORACLE,
+    "op5_decontamination": decontaminate.ORACLE,
+}

@@ -73,14 +73,15 @@ def fingerprints_of(offsets: np.ndarray, data: np.ndarray, size: int = 3) -> np.
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
-    """(doc_id, fp): one row per document, no shuffle."""
+    """(doc_id, t, fp): one row per document, no shuffle; t is a hash of the text, to tell rows apart."""
 
     def run(batches):
-        schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+        schema = pa.schema([("doc_id", pa.int64()), ("t", pa.int64()), ("fp", pa.int64())])
         for b in batches:
-            yield c.batch(schema, b.column(0), fingerprints_of(*c.utf8(b.column(1)), size))
+            yield c.batch(schema, b.column(0), b.column(1), fingerprints_of(*c.utf8(b.column(2)), size))
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), text.alias("text")).mapInArrow(run, "doc_id long, t long, fp long")
 
 
 def _moments(classes: DataFrame) -> tuple[int, np.ndarray]:
@@ -205,7 +206,7 @@ def links(classes: DataFrame, distance: int = 2, bucket: int = 16) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 2, bucket: int = 16) -> DataFrame:
-    """(doc_id, fp, component_id, n_equal): one row per document; see the module's text."""
+    """(doc_id, t, fp, root, component_id, n_equal): one row per document; root is the component's smallest fingerprint."""
     own = c.stored(fingerprints(docs, id_col, text_col), "fingerprints")
     classes = c.stored(own.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")), "classes")
     roots = components(links(classes, distance, bucket))
@@ -213,10 +214,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids = joined.filter("linked").groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("w"))
     n_linked = joined.filter("linked").count()
     known = c.stored(
-        c.heavy_join(joined.filter("linked"), ids, ["root"], "w", n_linked).select("fp", "n", "component_id").unionByName(joined.filter("NOT linked").select("fp", "n", F.col("least").alias("component_id"))), "known"
+        c.heavy_join(joined.filter("linked"), ids, ["root"], "w", n_linked).select("fp", "n", "root", "component_id").unionByName(joined.filter("NOT linked").select("fp", "n", "root", F.col("least").alias("component_id"))), "known"
     )
     total = own.count()
-    return c.heavy_join(own, known, ["fp"], "n", total).select("doc_id", "fp", "component_id", F.col("n").alias("n_equal"))
+    return c.heavy_join(own, known, ["fp"], "n", total).select("doc_id", "t", "fp", "root", "component_id", F.col("n").alias("n_equal"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents' rows without near duplicates: of each component the row with the smallest id (null last), once."""
+    last = F.lit((1 << 63) - 1)
+    found = near_duplicates(docs, id_col, text_col)
+    stay = found.groupBy("root").agg(F.min(F.struct(F.coalesce("doc_id", last).alias("_id"), F.col("t").alias("_t"))).alias("k")).select("k.*")
+    keyed = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), last), "_t": F.xxhash64(F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")))})
+    return keyed.join(stay, ["_id", "_t"], "left_semi").dropDuplicates(["_id", "_t"]).drop("_id", "_t")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
