@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from . import common as c
 
 _NULL = -(1 << 63)
+#: kinds of rows that a range hands over: settled there, open until all ranges are seen, or a witness for others only
+KNOWN, OPEN, WITNESS = 0, 1, 2
 _SPANS = "array<struct<s:int,e:int,removed:int>>"
 
 
@@ -103,8 +105,9 @@ def sample(docs: DataFrame, least: int, gram: int, id_col: str, text_col: str) -
 def neighbours(df: DataFrame) -> DataFrame:
     """df (k, a, b, c): a stored table.  Rows whose k occurs with two or more distinct (a, b, c), and whether theirs is the first.
 
-    Range sort by all columns, then each row against the one before: a range's first and
-    last keys may go on elsewhere and are settled together, two keys per range.
+    Range sort by all columns, then each row against the one before.  A key may go on in
+    the next range, however many ranges it fills: each range hands over one row for its
+    first key and one for its last, and those few rows settle what a range can't tell.
     """
 
     def run(batches):
@@ -122,18 +125,23 @@ def neighbours(df: DataFrame) -> DataFrame:
         head = start[group]
         first = (a == a[head]) & (b == b[head]) & (d == d[head])
         # in a sorted group the ends differ exactly if any two rows do
-        several = ((a[start] != a[last]) | (b[start] != b[last]) | (d[start] != d[last]))[group]
-        edge = (group == 0) | (group == len(start) - 1)
-        at = np.flatnonzero(several | edge)
-        for i in range(0, len(at), 1 << 16):
-            j = at[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(x[j], t) for x, t in ((k, pa.int64()), (a, pa.int64()), (b, pa.int64()), (d, pa.int32()), (first, pa.bool_()), (edge, pa.bool_()))], names=["k", "a", "b", "c", "first", "edge"])
-
-    compared = c.stored(df.select("k", "a", "b", "c").repartitionByRange("k", "a", "b", "c").sortWithinPartitions("k", "a", "b", "c").mapInArrow(run, "k long, a long, b long, c int, first boolean, edge boolean"), "compared")
+        several = (a[start] != a[last]) | (b[start] != b[last]) | (d[start] != d[last])
+        # known here: repeated groups, but for the first rows of the range's first key
+        known = several[group] & ~((group == 0) & first)
+        rows = [(np.flatnonzero(known), KNOWN), (start[:1], OPEN)]
+        if len(start) > 1:
+            rows.append((start[-1:], WITNESS if several[-1] else OPEN))
+        for at, kind in rows:
+            for i in range(0, len(at), 1 << 16):
+                j = at[i : i + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in ((k[j], pa.int64()), (a[j], pa.int64()), (b[j], pa.int64()), (d[j], pa.int32()), (first[j], pa.bool_()), (several[group[j]], pa.bool_()), (np.full(len(j), kind), pa.int32()))], names=["k", "a", "b", "c", "first", "several", "kind"])
+
+    compared = c.stored(df.select("k", "a", "b", "c").repartitionByRange("k", "a", "b", "c").sortWithinPartitions("k", "a", "b", "c").mapInArrow(run, "k long, a long, b long, c int, first boolean, several boolean, kind int"), "compared")
     place = F.struct("a", "b", "c")
-    edges = compared.filter("edge").groupBy("k").agg(F.min(place).alias("least"), F.max(place).alias("most")).filter("least <> most").select("k", "least")
-    settled = compared.filter("edge").drop("first", "edge").join(F.broadcast(edges), "k").select("k", "a", "b", "c", (place == F.col("least")).alias("first"))
-    return compared.filter("NOT edge").drop("edge").unionByName(settled)
+    edges = compared.filter(F.col("kind") != KNOWN)  # two rows per range at most
+    told = edges.groupBy("k").agg(F.min(place).alias("least"), F.max(place).alias("most"), F.max("several").alias("any")).filter("least <> most OR any").select("k", "least")
+    settled = edges.filter(F.col("kind") == OPEN).join(F.broadcast(told), "k").select("k", "a", "b", "c", (place == F.col("least")).alias("first"))
+    return compared.filter(F.col("kind") == KNOWN).select("k", "a", "b", "c", "first").unionByName(settled)
 
 
 def passages(docs: DataFrame, least: int = 50, gram: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
