@@ -31,7 +31,7 @@ from . import common as c
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _ODD = re.compile(r" \s|\s |^ | $")
 _MARKS = ".,!?;:%&#$*|"
-#: Words kept with their ids in each Python worker; beyond it the memory starts anew.
+#: Words kept with their ids in each Python worker; beyond it, and one text's words, it starts anew.
 CACHE = 600_000
 
 
@@ -77,8 +77,6 @@ class Encoder:
 
     def _learn(self, missing: set[str]) -> None:
         known = self.known
-        if len(known) + len(missing) > CACHE:
-            known.clear()
         for w in missing:
             if w in known:
                 continue
@@ -100,6 +98,8 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         out = []
         for text in texts:
+            if len(self.known) > CACHE:
+                self.known.clear()
             if len(text) < 4:
                 out.append(self.whole(text))
                 continue
