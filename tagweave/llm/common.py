@@ -88,7 +88,7 @@ def held_out(doc_id):
 # ---------------------------------------------------------------- bytes and words in numpy
 
 #: Bytes of text that one vectorised step takes at most, unless one document is longer.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _WORD_MULT = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -106,15 +106,18 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return out
 
 
-_cache: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+_cache: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _power_pair(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = max(1 << 16, 1 << int(n).bit_length())
-    if (int(base), size) not in _cache:
-        _cache.clear() if len(_cache) > 8 else None
-        _cache[int(base), size] = _powers(base, size), _powers(_inverse(base), size)
-    return _cache[int(base), size]
+    """Powers of base and of its inverse, n of each at least; the longest so far are kept, unless a giant text asked for them."""
+    found = _cache.get(int(base))
+    if found is None or len(found[0]) < n:
+        size = max(2 * CHUNK, n)
+        found = _powers(base, size), _powers(_inverse(base), size)
+        if size <= 8 * CHUNK:
+            _cache[int(base)] = found
+    return found
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

@@ -20,8 +20,8 @@ def _mark(df: DataFrame):
 def components(edges: DataFrame) -> DataFrame:
     """edges (a, b), non-null and comparable, in any order, repeats and loops allowed -> (node, root).
 
-    Every node that has a link to another appears once; root is the smallest node that
-    it reaches.  No edges: no rows.
+    Every node that has a link to another appears once, roots too; root is the smallest
+    node that it reaches, itself included.  No edges: no rows.
     """
     here = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "links")
     mark = _mark(here)
@@ -35,4 +35,4 @@ def components(edges: DataFrame) -> DataFrame:
         was, mark = mark, _mark(here)
         if was == mark:
             break
-    return here.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    return here.select(F.col("a").alias("node"), F.col("b").alias("root")).union(here.select("b", "b").distinct())

@@ -33,7 +33,7 @@ _LETTER = re.compile(r"[^\W\d_]")
 _FOLD = c.LOWER.copy()
 _FOLD[[b for b in range(128) if not chr(b).isalpha()]] = 0x20
 #: a text is counted in pieces of so many bytes that overlap, so that long ones need no more memory
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 
 @dataclass(frozen=True)

@@ -154,6 +154,7 @@ def allot(n: int, together: np.ndarray, groups: list[list[int]], distance: int)
 
 def plan(n: int, together: np.ndarray, distance: int) -> list[tuple[list[int], int]]:
     """(bits, tolerance) of each partition that is probed, from the cheapest number of partitions."""
+    n = max(n, 2)  # an empty table is planned like a tiny one
     options = []
     for parts in range(1, distance + 3):
         groups = arrange(n, together, parts)
