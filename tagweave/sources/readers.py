@@ -13,9 +13,6 @@ from .. import dims
 from ..functions import scalars as S
 from ..operators import lines
 
-#: Widest file that a read without header keeps whole.
-MAX_COLUMNS = 256
-
 
 class PageRenderer(Protocol):
     """Turns a document into page rasters, and page regions into rasters at another scale."""
@@ -60,32 +57,46 @@ def rendered(documents: DataFrame, renderer: PageRenderer, scale: float) -> Data
     return documents.select("path", "content").mapInPandas(run, "drawing_id string, page int, height int, width int, n_channels int, data binary")
 
 
+#: a field: opened by a quote at its start, where a quote ends it only before a comma, a line's end or the end of the text; or plain text
+_FIELD = re.compile(r'"((?:""|"(?![,\r\n]|\Z)|[^"])*)(?:"|\Z)|([^,\r\n]*)')
+
+
+def cells_of(text: str) -> list[list[str]]:
+    """Rows of a hand-written CSV text; blank ones go.  Line ends may be mixed, so Spark's own reader, which settles on one, doesn't fit."""
+    text, at, rows, row = text.removeprefix("\ufeff"), 0, [], []
+    while at < len(text):
+        m = _FIELD.match(text, at)
+        row.append(m[1].replace('""', '"') if m[1] is not None else m[2])
+        at = m.end()
+        if text[at : at + 1] == ",":
+            at += 1
+            if at == len(text):
+                row.append("")
+            continue
+        rows.append(row)
+        row, at = [], at + (2 if text[at : at + 2] == "\r\n" else 1)
+    rows += [row] if row else []
+    return [r for r in rows if any(c.strip() for c in r)]
+
+
 def lenient_csv(spark: SparkSession, path: str) -> tuple[list[str], DataFrame]:
-    """Header cells and (drawing_id, row_seq, c0..cN) of one or more hand-written CSV files with a common header.
-
-    A quote opens a field only at its start and is an inch mark elsewhere; blank rows go.
-    drawing_id is the file's path.
-    """
-    schema = ", ".join(f"c{i} string" for i in range(MAX_COLUMNS))
-    raw = spark.read.schema(schema).csv(path, header=False, multiLine=True, escape='"', unescapedQuoteHandling="STOP_AT_CLOSING_QUOTE", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
-    cells = [F.coalesce(F.col(f"c{i}"), F.lit("")) for i in range(MAX_COLUMNS)]
-    cells[0] = F.regexp_replace(cells[0], "^\\x{FEFF}", "")
-    blank = S.trimmed(F.concat(*cells)) == ""
-    rows = raw.select(F.input_file_name().alias("drawing_id"), *[c.alias(f"c{i}") for i, c in enumerate(cells)]).filter(~blank).withColumn("_n", F.monotonically_increasing_id())
-    # a file of several lines to a record is read by one task, so its rows keep their order
-    from pyspark.sql import Window
-
-    rows = rows.withColumn("row_seq", F.row_number().over(Window.partitionBy("drawing_id").orderBy("_n")).cast("long") - 2).drop("_n")
+    """Header cells and (drawing_id, row_seq, cells) of one or more hand-written CSV files with a common header; drawing_id is the file's path."""
+    import pandas as pd
+
+    def run(batches):
+        for pdf in batches:
+            for f in pdf.itertuples():
+                rows = cells_of(f.value)
+                yield pd.DataFrame({"drawing_id": [f.drawing_id] * len(rows), "row_seq": range(-1, len(rows) - 1), "cells": rows})
+
+    rows = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("drawing_id"), "value").mapInPandas(run, "drawing_id string, row_seq long, cells array<string>")
     head = rows.filter("row_seq = -1").limit(1).collect()
-    header = [str(x) for x in head[0][1:-1]] if head else []
-    while header and not header[-1].strip():
-        header.pop()
-    return header, rows.filter("row_seq >= 0")
+    return (list(head[0]["cells"]) if head else []), rows.filter("row_seq >= 0")
 
 
 def by_header(header: list[str], rows: DataFrame) -> dict[str, object]:
     """Trimmed columns by normal header name; of equal names the last wins, nameless ones go."""
-    return {normal_header(h): S.trimmed(F.col(f"c{i}")) for i, h in enumerate(header) if normal_header(h)}
+    return {normal_header(h): S.trimmed(F.coalesce(F.get("cells", F.lit(i)), F.lit(""))) for i, h in enumerate(header) if normal_header(h)}
 
 
 def _picked(columns: dict, aliases: dict[str, list[str]]):
