@@ -5,7 +5,7 @@ windows are all runs of ``window`` (10) of its words; an item of fewer words, bu
 none, is one window.  A document word is hit if it lies in any occurrence of a window.
 
 Documents are scanned once per block of the benchmark.  A block holds at most
-``block_windows`` windows, which bounds what is broadcast whatever the benchmark's size;
+``block_windows`` windows (120 MB), which bounds what is broadcast whatever the benchmark's size;
 hits of several blocks are merged by document.  Window hashes find candidates; each hit
 is verified by its words.
 
@@ -33,23 +33,29 @@ def _keys(seg: np.ndarray, bounds: np.ndarray):
 
 
 def index_block(items: list[tuple[int, str]], window: int) -> dict:
-    """Windows of the items: by length, sorted hashes with the words and the item of each."""
-    by_length: dict[int, list[tuple[int, bytes, int]]] = {}
+    """Windows of the items: by length, a sieve, hashes in order, and where each window's words lie in the items' words; about 30 bytes a window.
+
+    Returns {"words": all items' words, space-joined, k: (sieve, hashes, starts, ends, item_ids), ...}.
+    """
+    held, size, by_length = [], 0, {}
     for item, text in items:
         seg = c.LOWER[np.frombuffer((text or "").encode(), np.uint8)]
         starts, ends, _, hashes = _keys(seg, np.array([0, len(seg)]))
-        raw, k = seg.tobytes(), min(window, len(starts))
-        for i, h in enumerate(c.gram_hashes(hashes, k) if k else ()):
-            by_length.setdefault(k, []).append((int(h), b" ".join(raw[starts[j] : ends[j]] for j in range(i, i + k)), item))
-    out = {}
+        n, raw = len(starts), seg.tobytes()
+        if not n:
+            continue
+        held.append(b" ".join(raw[s:e] for s, e in zip(starts.tolist(), ends.tolist())))
+        to = size + np.cumsum(ends - starts + 1) - 1  # ends of the words as joined
+        k = min(window, n)
+        by_length.setdefault(k, []).append((c.gram_hashes(hashes, k), (to - (ends - starts))[: n - k + 1], to[k - 1 :], np.full(n - k + 1, item, np.int64)))
+        size += len(held[-1]) + 1
+    out: dict = {"words": b" ".join(held)}
     for k, rows in by_length.items():
-        of: dict[int, dict[bytes, list[int]]] = {}
-        for h, text, item in rows:
-            of.setdefault(h, {}).setdefault(text, []).append(item)
-        keys = np.array(sorted(of), np.uint64)
+        keys, *places = (np.concatenate(x) for x in zip(*rows))
+        order = np.argsort(keys, kind="stable")
         sieve = np.zeros(1 << 20, bool)
         sieve[(keys >> np.uint64(44)).astype(np.int64)] = True
-        out[k] = (keys, sieve, of)
+        out[k] = (sieve, keys[order], *(x[order] for x in places))
     return out
 
 
@@ -61,16 +67,18 @@ def scan(offsets: np.ndarray, data: np.ndarray, index: dict) -> Iterator[tuple[i
         starts, ends, first, hashes = _keys(seg, bounds)
         spans: list[list[tuple[int, int]]] = [[] for _ in range(hi - lo)]
         items: list[set[int]] = [set() for _ in range(hi - lo)]
-        for k, (_, sieve, of) in index.items():
+        for k, (sieve, keys, begins, finishes, of) in ((k, x) for k, x in index.items() if k != "words"):
             grams = c.gram_hashes(hashes, k)
-            at = np.flatnonzero(sieve[(grams >> np.uint64(44)).astype(np.int64)]) if len(grams) else grams
+            at = np.flatnonzero(sieve[(grams >> np.uint64(44)).astype(np.int64)]) if len(grams) else np.zeros(0, np.int64)
+            left, right = np.searchsorted(keys, grams[at], "left"), np.searchsorted(keys, grams[at], "right")
             doc = np.searchsorted(first, at, "right") - 1
-            for i, d, h in zip(at.tolist(), doc.tolist(), grams[at].tolist() if len(at) else ()):
-                if i + k <= first[d + 1] and h in of:
-                    words = b" ".join(seg[starts[j] : ends[j]].tobytes() for j in range(i, i + k))
-                    if words in of[h]:
-                        items[d].update(of[h][words])
-                        spans[d].append((int(i - first[d]), int(i - first[d] + k)))
+            hit = (right > left) & (at + k <= first[doc + 1])
+            for i, d, x, y in zip(at[hit].tolist(), doc[hit].tolist(), left[hit].tolist(), right[hit].tolist()):
+                words = b" ".join(seg[starts[j] : ends[j]].tobytes() for j in range(i, i + k))
+                found = {int(of[q]) for q in range(x, y) if index["words"][begins[q] : finishes[q]] == words}
+                if found:
+                    items[d] |= found
+                    spans[d].append((int(i - first[d]), int(i - first[d] + k)))
         for d in range(hi - lo):
             yield int(first[d + 1] - first[d]), merged(spans[d]), items[d]
 
