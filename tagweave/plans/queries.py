@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import dims
 from ..functions import scalars as S
 from ..operators import circles, consensus, extract, lines, merge, review, votes
 from ..schema import BOX, MergeOptions
@@ -110,17 +111,43 @@ def modal_stem_length(tags):
     return consensus.modal_length(consensus.subjects(tags)).withColumnRenamed("sheet", "drawing_id")
 
 
+def _one_of(a: str, b: str) -> str:
+    pairs = sorted({x for p in dims.CONFUSABLE for x in (p, p[::-1])})
+    return f"({a} = {b} OR {a} || {b} IN ({', '.join(repr(p) for p in pairs)}))"
+
+
+def _substituted(a: str, b: str) -> str:
+    """One place differs, and its characters are confusable."""
+    at = f"list_filter(range(1, length({a}) + 1), lambda i: substring({a}, i, 1) <> substring({b}, i, 1))"
+    return f"(length({a}) = length({b}) AND len({at}) = 1 AND {_one_of(f'substring({a}, {at}[1], 1)', f'substring({b}, {at}[1], 1)')})"
+
+
+def _inserted(short: str, long: str) -> str:
+    return f"(length({long}) = length({short}) + 1 AND len(list_filter(range(1, length({long}) + 1), lambda i: substring({long}, 1, i - 1) || substring({long}, i + 1) = {short})) > 0)"
+
+
+_TOKEN = r"token, CASE WHEN regexp_matches(token, '^[0-9]*[A-Z]*$') THEN regexp_extract(token, '^([0-9]*)', 1) ELSE token END AS s, CASE WHEN regexp_matches(token, '^[0-9]*[A-Z]*$') THEN regexp_extract(token, '([A-Z]*)$', 1) ELSE '' END AS l"
+
+
 @query(A.TAGS)
 def corrections(tags):
     return consensus.corrections(tags)
 
 
-@query(A.TAGS)
+@query(A.TAGS, f"""WITH {_SUB} SELECT drawing_id, id, function_code AS before, min(k) AS after, 'nearest known function code' AS kind, 'func' AS field FROM sub, (SELECT unnest({dims.KNOWN_CODES!r}) AS k)
+WHERE function_code <> '' AND NOT list_contains({dims.KNOWN_CODES!r}, function_code) AND ({_substituted('function_code', 'k')} OR {_inserted('function_code', 'k')} OR {_inserted('k', 'function_code')})
+GROUP BY drawing_id, id, function_code HAVING count(*) = 1""")
 def function_code_fix(tags):
     return consensus.function_fixes(consensus.subjects(tags)).drop("support")
 
 
-@query(A.TAGS)
+@query(A.TAGS, f"""WITH {_SUB}, tok AS (SELECT DISTINCT drawing_id, {_TOKEN} FROM sub WHERE token <> ''),
+p AS (SELECT a.drawing_id, a.token, b.token AS "to", a.s AS sa, a.l AS la, b.s AS sb, b.l AS lb, right(a.s, 1) AS dropped FROM tok a JOIN tok b USING (drawing_id)),
+k AS (SELECT drawing_id, token, "to", CASE WHEN token = "to" OR (la <> '' AND lb = '') THEN NULL
+  WHEN la = lb THEN CASE WHEN {_substituted('sa', 'sb')} THEN 'stem-substitution' WHEN {_inserted('sa', 'sb')} THEN 'stem-insertion' END
+  WHEN la = '' THEN CASE WHEN length(lb) = 1 AND sa = sb || dropped AND length(sa) = length(sb) + 1 AND {_one_of('dropped', 'lb')} THEN 'suffix-recovered' END
+  WHEN sa = sb AND {_substituted('la', 'lb')} THEN 'suffix-substitution' END AS kind FROM p)
+SELECT * FROM k WHERE kind IS NOT NULL""")
 def correction_kinds(tags):
     """Kinds between the tokens of each drawing."""
     t = consensus.token_support(consensus.subjects(tags)).select("sheet", "token")
@@ -277,13 +304,19 @@ def annotated_overlay(tags):
 _EDGES = "SELECT CAST(floor(p_partkey / 40) AS INT) AS page, CAST(60 + round(20 * cos(p_partkey % 40 * 0.15707963267948966)) AS BIGINT) AS x, CAST(60 + round(20 * sin(p_partkey % 40 * 0.15707963267948966)) AS BIGINT) AS y, cos(p_partkey % 40 * 0.15707963267948966) AS ux, sin(p_partkey % 40 * 0.15707963267948966) AS uy, 120 AS width, 120 AS height FROM {part}"
 
 
-@query(_EDGES, f"""WITH v AS (SELECT page, r, CAST(floor(x + s * r * ux + 0.5) AS BIGINT) AS cx, CAST(floor(y + s * r * uy + 0.5) AS BIGINT) AS cy FROM ({A.oracle(_EDGES)}), unnest(range(18, 23)) AS a(r), unnest([1, -1]) AS b(s))
-SELECT page, CAST(r AS INT) AS r, cx, cy, count(*) AS votes FROM v WHERE cx BETWEEN 0 AND 119 AND cy BETWEEN 0 AND 119 GROUP BY ALL HAVING count(*) >= floor(2 * pi() * r * 0.2 + 0.5)""")
+_VOTES = f"""WITH v AS (SELECT page, r, CAST(floor(x + s * r * ux + 0.5) AS BIGINT) AS cx, CAST(floor(y + s * r * uy + 0.5) AS BIGINT) AS cy FROM ({A.oracle(_EDGES)}), unnest(range(18, 23)) AS a(r), unnest([1, -1]) AS b(s))
+SELECT page, CAST(r AS INT) AS r, cx, cy, count(*) AS votes FROM v WHERE cx BETWEEN 0 AND 119 AND cy BETWEEN 0 AND 119 GROUP BY ALL HAVING count(*) >= floor(2 * pi() * r * 0.2 + 0.5)"""
+
+
+@query(_EDGES, _VOTES)
 def hough_votes(edges):
     return circles.hough_votes(edges, 18, 22)
 
 
-@query(_EDGES)
+@query(_EDGES, f"""WITH votes AS ({_VOTES}), peak AS (SELECT * FROM votes QUALIFY row_number() OVER (PARTITION BY page, r, floor(cy / 4), floor(cx / 4) ORDER BY votes DESC, cy, cx) = 1),
+ranked AS (SELECT page, list(struct_pack(r := r, cx := cx, cy := cy, votes := votes) ORDER BY votes DESC, r, cy, cx) AS l FROM peak GROUP BY page),
+kept AS (SELECT page, unnest(list_reduce(l, lambda a, x: CASE WHEN len(list_filter(a, lambda k: sqrt((k.cx - x.cx) ** 2 + (k.cy - x.cy) ** 2) < 1.2 * greatest(k.r, x.r))) > 0 THEN a ELSE list_append(a, x) END, l[1:0])) AS c FROM ranked)
+SELECT page, c.r AS r, c.cx AS cx, c.cy AS cy, c.votes AS votes FROM kept""")
 def circle_suppression(edges):
     return circles.separated(circles.bucket_peaks(circles.hough_votes(edges, 18, 22)))
 
