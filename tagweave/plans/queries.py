@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import dims
 from ..functions import scalars as S
 from ..operators import circles, consensus, extract, lines, merge, review, votes
-from ..schema import BOX, MergeOptions
+from ..schema import BOX, MergeOptions, ReconcileOptions
 from ..sources import sinks
 from . import adapters as A
 from .pipeline import extract_drawing
@@ -106,7 +106,10 @@ def stem_support(tags):
     return consensus.stem_support(consensus.subjects(tags)).withColumnRenamed("sheet", "drawing_id")
 
 
-@query(A.TAGS, f"WITH {_SUB}, st AS (SELECT DISTINCT drawing_id, stem FROM sub WHERE stem <> ''), n AS (SELECT drawing_id, length(stem) AS len, count(*) AS n FROM st a WHERE NOT (length(stem) > 1 AND EXISTS (SELECT 1 FROM st b WHERE b.drawing_id = a.drawing_id AND b.stem = a.stem[:-2])) GROUP BY ALL) SELECT drawing_id, CAST(len AS INT) AS modal FROM n QUALIFY row_number() OVER (PARTITION BY drawing_id ORDER BY n DESC, len) = 1")
+_MODAL = f"st AS (SELECT DISTINCT drawing_id, stem FROM sub WHERE stem <> ''), n AS (SELECT drawing_id, length(stem) AS len, count(*) AS n FROM st a WHERE NOT (length(stem) > 1 AND EXISTS (SELECT 1 FROM st b WHERE b.drawing_id = a.drawing_id AND b.stem = a.stem[:-2])) GROUP BY ALL), modal AS (SELECT drawing_id, CAST(len AS INT) AS modal FROM n QUALIFY row_number() OVER (PARTITION BY drawing_id ORDER BY n DESC, len) = 1)"
+
+
+@query(A.TAGS, f"WITH {_SUB}, {_MODAL} SELECT * FROM modal")
 def modal_stem_length(tags):
     return consensus.modal_length(consensus.subjects(tags)).withColumnRenamed("sheet", "drawing_id")
 
@@ -129,25 +132,46 @@ def _inserted(short: str, long: str) -> str:
 _TOKEN = r"token, CASE WHEN regexp_matches(token, '^[0-9]*[A-Z]*$') THEN regexp_extract(token, '^([0-9]*)', 1) ELSE token END AS s, CASE WHEN regexp_matches(token, '^[0-9]*[A-Z]*$') THEN regexp_extract(token, '([A-Z]*)$', 1) ELSE '' END AS l"
 
 
-@query(A.TAGS)
+_FIXES = f"""SELECT drawing_id, id, function_code AS before, min(k) AS after, 'nearest known function code' AS kind, 'func' AS field FROM sub, (SELECT unnest({dims.KNOWN_CODES!r}) AS k)
+WHERE function_code <> '' AND NOT list_contains({dims.KNOWN_CODES!r}, function_code) AND ({_substituted('function_code', 'k')} OR {_inserted('function_code', 'k')} OR {_inserted('k', 'function_code')})
+GROUP BY drawing_id, id, function_code HAVING count(*) = 1"""
+_KINDS = f"""tok AS (SELECT DISTINCT drawing_id, {_TOKEN} FROM sub WHERE token <> ''),
+p AS (SELECT a.drawing_id, a.token, b.token AS "to", a.s AS sa, a.l AS la, b.s AS sb, b.l AS lb, right(a.s, 1) AS dropped FROM tok a JOIN tok b USING (drawing_id)),
+k AS (SELECT drawing_id, token, "to", CASE WHEN token = "to" OR (la <> '' AND lb = '') THEN NULL
+  WHEN la = lb THEN CASE WHEN {_substituted('sa', 'sb')} THEN 'stem-substitution' WHEN {_inserted('sa', 'sb')} THEN 'stem-insertion' END
+  WHEN la = '' THEN CASE WHEN length(lb) = 1 AND sa = sb || dropped AND length(sa) = length(sb) + 1 AND {_one_of('dropped', 'lb')} THEN 'suffix-recovered' END
+  WHEN sa = sb AND {_substituted('la', 'lb')} THEN 'suffix-substitution' END AS kind FROM p)"""
+_O = ReconcileOptions()
+_SINGLE = ", ".join(f"('{d}', '{x[0]}')" for d, x in S.confusable_letters().items() if len(x) == 1)
+
+
+@query(A.TAGS, f"""WITH {_SUB}, {_MODAL}, {_KINDS},
+tokens AS (SELECT drawing_id, token, any_value(stem) AS stem, count(*) AS support, min(tag_seq) AS first_seq FROM sub WHERE token <> '' GROUP BY drawing_id, token),
+stems AS (SELECT drawing_id, stem, count(*) AS stem_support FROM sub WHERE stem <> '' GROUP BY drawing_id, stem),
+spot AS (SELECT drawing_id, id, token, stem, (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy FROM sub),
+marked AS (SELECT *, stem <> '' AND length(stem) <> modal AS odd FROM (SELECT spot.*, support, coalesce(modal, 0) AS modal FROM spot JOIN tokens USING (drawing_id, token) LEFT JOIN modal USING (drawing_id))
+  WHERE support <= {_O.weak_support} OR stem <> '' AND length(stem) <> modal),
+pair AS (SELECT m.drawing_id, m.id, m.token, k."to", k.kind, coalesce(stem_support, t.support) AS evidence, t.first_seq, min(sqrt((o.cx - m.cx) ** 2 + (o.cy - m.cy) ** 2)) AS away
+  FROM marked m JOIN k ON k.drawing_id = m.drawing_id AND k.token = m.token AND k.kind IS NOT NULL JOIN tokens t ON t.drawing_id = m.drawing_id AND t.token = k."to"
+  LEFT JOIN stems ON stems.drawing_id = t.drawing_id AND stems.stem = t.stem JOIN spot o ON o.drawing_id = m.drawing_id AND o.token = k."to"
+  WHERE coalesce(stem_support, t.support) >= m.support + CASE WHEN m.odd THEN 1 ELSE {_O.support_margin} END GROUP BY ALL),
+best AS (SELECT * FROM pair WHERE away <= {_O.cluster_radius} QUALIFY row_number() OVER (PARTITION BY drawing_id, id ORDER BY evidence DESC, away, first_seq) = 1),
+lone AS (SELECT m.drawing_id, m.id, m.token, left(m.stem, -1) AS base, letter, stem_support, min(sqrt((o.cx - m.cx) ** 2 + (o.cy - m.cy) ** 2)) AS away FROM marked m JOIN (VALUES {_SINGLE}) d(digit, letter) ON digit = right(m.stem, 1)
+  JOIN stems ON stems.drawing_id = m.drawing_id AND stems.stem = left(m.stem, -1) AND stem_support >= {_O.support_margin} JOIN spot o ON o.drawing_id = m.drawing_id AND o.stem = left(m.stem, -1)
+  WHERE m.token = m.stem AND length(m.stem) = m.modal + 1 AND NOT EXISTS (SELECT 1 FROM best b WHERE b.drawing_id = m.drawing_id AND b.id = m.id) GROUP BY ALL)
+SELECT drawing_id, id, 'loop' AS field, token AS before, "to" AS after, kind, evidence AS support FROM best
+UNION ALL SELECT drawing_id, id, 'loop', token, base || letter, 'suffix-inferred', stem_support FROM lone WHERE away <= {_O.cluster_radius}
+UNION ALL SELECT drawing_id, id, field, before, after, kind, CAST(NULL AS BIGINT) FROM ({_FIXES})""")
 def corrections(tags):
     return consensus.corrections(tags)
 
 
-@query(A.TAGS, f"""WITH {_SUB} SELECT drawing_id, id, function_code AS before, min(k) AS after, 'nearest known function code' AS kind, 'func' AS field FROM sub, (SELECT unnest({dims.KNOWN_CODES!r}) AS k)
-WHERE function_code <> '' AND NOT list_contains({dims.KNOWN_CODES!r}, function_code) AND ({_substituted('function_code', 'k')} OR {_inserted('function_code', 'k')} OR {_inserted('k', 'function_code')})
-GROUP BY drawing_id, id, function_code HAVING count(*) = 1""")
+@query(A.TAGS, f"WITH {_SUB} {_FIXES}")
 def function_code_fix(tags):
     return consensus.function_fixes(consensus.subjects(tags)).drop("support")
 
 
-@query(A.TAGS, f"""WITH {_SUB}, tok AS (SELECT DISTINCT drawing_id, {_TOKEN} FROM sub WHERE token <> ''),
-p AS (SELECT a.drawing_id, a.token, b.token AS "to", a.s AS sa, a.l AS la, b.s AS sb, b.l AS lb, right(a.s, 1) AS dropped FROM tok a JOIN tok b USING (drawing_id)),
-k AS (SELECT drawing_id, token, "to", CASE WHEN token = "to" OR (la <> '' AND lb = '') THEN NULL
-  WHEN la = lb THEN CASE WHEN {_substituted('sa', 'sb')} THEN 'stem-substitution' WHEN {_inserted('sa', 'sb')} THEN 'stem-insertion' END
-  WHEN la = '' THEN CASE WHEN length(lb) = 1 AND sa = sb || dropped AND length(sa) = length(sb) + 1 AND {_one_of('dropped', 'lb')} THEN 'suffix-recovered' END
-  WHEN sa = sb AND {_substituted('la', 'lb')} THEN 'suffix-substitution' END AS kind FROM p)
-SELECT * FROM k WHERE kind IS NOT NULL""")
+@query(A.TAGS, f"WITH {_SUB}, {_KINDS} SELECT * FROM k WHERE kind IS NOT NULL")
 def correction_kinds(tags):
     """Kinds between the tokens of each drawing."""
     t = consensus.token_support(consensus.subjects(tags)).select("sheet", "token")
