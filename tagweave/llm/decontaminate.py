@@ -11,6 +11,8 @@ is verified by its words.
 
 Null or wordless texts have no words and no hits; repeated documents each get a row
 (several blocks need a distinct row number, which is then made); a null doc_id stays.
+Benchmark items without an id hit like any other and count, together, as one item that
+no list of ids names.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from pyspark.sql import functions as F
 
 from . import common as c
 
+_NO_ID = -(1 << 63)
 _FOUND = "doc_id long, n_words long, spans array<struct<s:long,e:long>>, items array<long>"
 
 
@@ -47,7 +50,7 @@ def index_block(items: list[tuple[int, str]], window: int) -> dict:
         held.append(b" ".join(raw[s:e] for s, e in zip(starts.tolist(), ends.tolist())))
         to = size + np.cumsum(ends - starts + 1) - 1  # ends of the words as joined
         k = min(window, n)
-        by_length.setdefault(k, []).append((c.gram_hashes(hashes, k), (to - (ends - starts))[: n - k + 1], to[k - 1 :], np.full(n - k + 1, item, np.int64)))
+        by_length.setdefault(k, []).append((c.gram_hashes(hashes, k), (to - (ends - starts))[: n - k + 1], to[k - 1 :], np.full(n - k + 1, _NO_ID if item is None else item, np.int64)))
         size += len(held[-1]) + 1
     out: dict = {"words": b" ".join(held)}
     for k, rows in by_length.items():
@@ -124,7 +127,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
             for b in batches:
                 rows = list(scan(*c.utf8(b.column(1)), index))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([[{"s": s, "e": e} for s, e in r[1]] for r in rows], kind), pa.array([sorted(r[2]) for r in rows], pa.list_(pa.int64())), *b.columns[2:]],
+                    [b.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([[{"s": s, "e": e} for s, e in r[1]] for r in rows], kind), pa.array([[None if x == _NO_ID else x for x in sorted(r[2])] for r in rows], pa.list_(pa.int64())), *b.columns[2:]],
                     names=["doc_id", "n_words", "spans", "items", *["row"] * (b.num_columns - 2)],
                 )
 
