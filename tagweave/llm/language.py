@@ -204,7 +204,8 @@ def has_letter(data: np.ndarray, lo: int, hi: int) -> bool:
     head = data[lo : min(hi, lo + 64)]
     if (((head | 32) >= 0x61) & ((head | 32) <= 0x7A)).any():
         return True
-    return bool(_LETTER.search(data[lo:hi].tobytes().decode("utf-8", "replace")))
+    # superscripts and the like pass the pattern, but aren't letters
+    return any(m[0].isalpha() for m in _LETTER.finditer(data[lo:hi].tobytes().decode("utf-8", "replace")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
