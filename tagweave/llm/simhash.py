@@ -224,10 +224,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents' rows without near duplicates: of each component the row with the smallest id (null last), once."""
     last = F.lit((1 << 63) - 1)
+    key = c.free_names(docs, "_id", "_t")
     found = near_duplicates(docs, id_col, text_col)
-    stay = found.groupBy("root").agg(F.min(F.struct(F.coalesce("doc_id", last).alias("_id"), F.col("t").alias("_t"))).alias("k")).select("k.*")
-    keyed = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), last), "_t": F.xxhash64(F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")))})
-    return keyed.join(stay, ["_id", "_t"], "left_semi").dropDuplicates(["_id", "_t"]).drop("_id", "_t")
+    stay = found.groupBy("root").agg(F.min(F.struct(F.coalesce("doc_id", last).alias(key[0]), F.col("t").alias(key[1]))).alias("k")).select("k.*")
+    keyed = docs.withColumns({key[0]: F.coalesce(F.col(id_col).cast("long"), last), key[1]: F.xxhash64(F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")))})
+    return keyed.join(stay, key, "left_semi").dropDuplicates(key).drop(*key)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

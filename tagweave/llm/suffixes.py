@@ -233,9 +233,10 @@ def cut_words(text: bytes, ranges: list[tuple[int, int]]) -> bytes:
 
 def without_repeats(docs: DataFrame, least: int = 50, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
     """The documents' rows without removed words; a text of which no word is left goes.  size_col, if there is one, is counted anew."""
-    found = passages(docs, least, id_col=id_col, text_col=text_col).filter("size(removed) > 0").select(F.coalesce("doc_id", F.lit(_NULL)).alias("_id"), F.col("t").alias("_t"), F.col("removed").alias("_removed")).dropDuplicates(["_id", "_t"])
+    *key, gone = c.free_names(docs, "_id", "_t", "_removed")
+    found = passages(docs, least, id_col=id_col, text_col=text_col).filter("size(removed) > 0").select(F.coalesce("doc_id", F.lit(_NULL)).alias(key[0]), F.col("t").alias(key[1]), F.col("removed").alias(gone)).dropDuplicates(key)
     names, place = docs.columns, docs.columns.index(text_col)
-    keyed = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL)), "_t": text_key(text_col)["t"]}).join(found, ["_id", "_t"], "left").select(*names, "_removed")
+    keyed = docs.withColumns({key[0]: F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL)), key[1]: text_key(text_col)["t"]}).join(found, key, "left").select(*names, gone)
 
     def run(batches):
         for b in batches:

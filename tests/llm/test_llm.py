@@ -169,6 +169,19 @@ def test_language(spark, docs, empty):
     assert language.accepted(docs, model).columns == docs.columns
 
 
+def test_superscripts_are_no_letters():
+    for text, want in (("²³ 12 ½", False), ("²³ é", True), ("", False), ("x" * 3, True), ("1" * 200 + "z", True)):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        assert language.has_letter(raw, 0, len(raw)) is want
+
+
+def test_stages_keep_columns_whose_names_they_use_themselves(docs):
+    clash = docs.withColumnsRenamed({"fp": "_id", "n_words": "_t", "kept": "_removed"})
+    for stage in (simhash.one_of_each, suffixes.without_repeats):
+        got, plain = stage(clash), stage(docs)
+        assert got.columns == clash.columns and sorted(map(str, got.collect())) == sorted(str(r) for r in plain.toDF(*clash.columns).collect())
+
+
 def test_language_of_pieces_equals_that_of_the_whole(monkeypatch):
     rows = [(("der und die " * 50).encode(), "de"), (("the and of " * 50).encode(), "en")] * 30
     model = language.train(rows)
@@ -183,7 +196,7 @@ def test_language_of_pieces_equals_that_of_the_whole(monkeypatch):
 @pytest.mark.parametrize("block", [4_000_000, 40])
 def test_decontamination(spark, docs, rows, empty, block):
     w = rows[8][1].split()
-    items = [(1, " ".join(w[5:40]).upper()), (2, "One, two!"), (3, ""), (4, None), (5, " ".join(w[35:50]))]
+    items = [(1, " ".join(w[5:40]).upper()), (2, "One, two!"), (3, ""), (4, None), (5, " ".join(w[35:50])), (None, " ".join(w[30:45]))]
     bench = spark.createDataFrame(items, "item_id long, text string")
     pattern = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     low = lambda t: re.findall(pattern, (t or "").translate({c: c + 32 for c in range(65, 91)}))
@@ -200,8 +213,8 @@ def test_decontamination(spark, docs, rows, empty, block):
                 if k + n <= len(x) and tuple(x[k : k + n]) in grams:
                     hit |= set(range(k, k + n))
                     found |= grams[tuple(x[k : k + n])]
-        want.append((i, len(x), sorted(hit), sorted(found)))
-    got = [(r["doc_id"], r["n_words"], [q for s in r["spans"] for q in range(s["s"], s["e"])], r["items"]) for r in decontaminate.contamination(docs, bench, block_windows=block).collect()]
+        want.append((i, len(x), sorted(hit), sorted(found, key=str)))
+    got = [(r["doc_id"], r["n_words"], [q for s in r["spans"] for q in range(s["s"], s["e"])], sorted(r["items"], key=str)) for r in decontaminate.contamination(docs, bench, block_windows=block).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
     assert decontaminate.contamination(empty, bench).count() == 0
     assert decontaminate.contamination(docs, bench.limit(0)).filter("size(spans) > 0").count() == 0
