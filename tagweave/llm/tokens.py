@@ -29,8 +29,6 @@ from . import common as c
 #: A space between two characters that aren't white space starts a token of its own in the
 #: byte-level pattern, so that a text may be cut before it without changing any id.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_ODD = re.compile(r" \s|\s |^ | $")
-_MARKS = ".,!?;:%&#$*|"
 #: Words kept with their ids in each Python worker; beyond it, and one text's words, it starts anew.
 CACHE = 600_000
 
@@ -54,12 +52,6 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {}
-        # byte-level models name each byte by a printable character
-        plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-        self.byte_names = [chr(b) for b in range(256)]
-        for i, b in enumerate(x for x in range(256) if x not in plain):
-            self.byte_names[b] = chr(256 + i)
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
@@ -70,47 +62,42 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def _letters(self, word: str) -> bytes:
-        """Ids of a space and a word of letters only, which the pattern keeps together."""
-        name = self.byte_names
-        return np.array([t.id for t in self.tokenizer.model.tokenize(name[32] + "".join([name[b] for b in word.encode()]))], self.dtype).tobytes()
-
-    def _learn(self, missing: set[str]) -> None:
-        known = self.known
-        for w in missing:
-            if w in known:
-                continue
-            if w.isalpha():
-                known[w] = self._letters(w)
-                continue
-            letters = w.rstrip(_MARKS)
-            tail = w[len(letters) :]
-            if tail and letters.isalpha():
-                # letters, and what is neither letter, digit nor space, are separate in the pattern
-                if letters not in known:
-                    known[letters] = self._letters(letters)
-                if tail not in self.marks:
-                    self.marks[tail] = self.whole(tail)
-                known[w] = known[letters] + self.marks[tail]
-            else:
-                known[w] = self.whole(" " + w)
+    def _learn(self, missing: list[str]) -> None:
+        """Encodes words, each with a space before it, as one text, and cuts the ids where the words start."""
+        width = self.dtype.itemsize
+        for lo in range(0, len(missing), 4096):
+            words = missing[lo : lo + 4096]
+            found = self.tokenizer.encode(" " + " ".join(words), add_special_tokens=False)
+            at = np.fromiter((s for s, _ in found.offsets), np.int64, len(found.ids))
+            starts = np.cumsum([0, *[len(w) + 1 for w in words]])
+            cut = (np.searchsorted(at, starts) * width).tolist()
+            ids = np.array(found.ids, self.dtype).tobytes()
+            self.known.update(zip(words, [ids[i:j] for i, j in zip(cut, cut[1:])]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out = []
         for text in texts:
             if len(self.known) > CACHE:
                 self.known.clear()
-            if len(text) < 4:
+            parts, last = text.split(" "), None
+            if len(text) < 4 or len(parts) < 2:
                 out.append(self.whole(text))
                 continue
-            parts = _CUT.split(text) if _ODD.search(text) else text.split(" ")
-            head, last = parts[0], None
-            if len(parts) > 1 and parts[-1][-1:].isspace():
-                last = self.whole(" " + parts.pop())
+            head, missing = parts[0], []
             got = list(map(self.known.get, parts[1:]))
             if None in got:
-                self._learn({w for w, g in zip(parts[1:], got) if g is None})
-                got = [self.known[w] for w in parts[1:]]
+                missing = list({w for w, g in zip(parts[1:], got) if g is None})
+            # words that are known neither start nor end with white space
+            if not head or head[-1].isspace() or any(not w or w[0].isspace() or w[-1].isspace() for w in missing):
+                head, *parts = _CUT.split(text)
+                if parts and parts[-1][-1].isspace():
+                    last = self.whole(" " + parts.pop())
+                missing = list({w for w in parts if w not in self.known})
+                self._learn(missing)
+                got = [self.known[w] for w in parts]
+            elif missing:
+                self._learn(missing)
+                got = [g or self.known[w] for g, w in zip(got, parts[1:])]
             out.append(b"".join([self.whole(head), *got, last or b""]))
         return out
 
