@@ -52,6 +52,10 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {}
+        # tokens that start with a space, which byte-level models write as U+0120
+        vocabulary = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.spaced[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
@@ -67,12 +71,16 @@ class Encoder:
         width = self.dtype.itemsize
         for lo in range(0, len(missing), 4096):
             words = missing[lo : lo + 4096]
-            found = self.tokenizer.encode(" " + " ".join(words), add_special_tokens=False)
-            at = np.fromiter((s for s, _ in found.offsets), np.int64, len(found.ids))
-            starts = np.cumsum([0, *[len(w) + 1 for w in words]])
-            cut = (np.searchsorted(at, starts) * width).tolist()
-            ids = np.array(found.ids, self.dtype).tobytes()
-            self.known.update(zip(words, [ids[i:j] for i, j in zip(cut, cut[1:])]))
+            text = " " + " ".join(words)
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+            cut = np.flatnonzero(self.spaced[ids])
+            if len(cut) != len(words):
+                # a word that holds spaces itself: the slower call tells where tokens lie
+                at = np.array([s for s, _ in self.tokenizer.encode(text, add_special_tokens=False).offsets])
+                cut = np.searchsorted(at, np.cumsum([0, *[len(w) + 1 for w in words[:-1]]]))
+            ends = [*(cut * width).tolist(), len(ids) * width]
+            raw = ids.tobytes()
+            self.known.update(zip(words, [raw[i:j] for i, j in zip(ends, ends[1:])]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out = []
