@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from tagweave.llm import common, decontaminate, host_rules, language, packing, quality, sharding, simhash, suffixes, tokens, warc
+from tagweave.llm import common, decontaminate, host_rules, language, near_copies, packing, quality, sharding, simhash, suffixes, tokens, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, n_words string, kept int"
 
@@ -354,3 +354,47 @@ def test_pipeline_stages(spark):
         assert docs.columns == columns and 0.5 * n < docs.count() <= n
         n = docs.count()
     assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).agg({"length": "sum"}).first()[0] > 0
+
+
+def brute_sets(text):
+    w = re.findall(r"[^\x20\x09-\x0d]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+    return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) > 4 else frozenset([tuple(w)] if w else [])
+
+
+@pytest.mark.parametrize("hubs", [4, 0])
+def test_near_copies_of_five_words(spark, docs, rows, empty, hubs, monkeypatch):
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    text = lambda n: [f"w{rng.randrange(4000)}" for _ in range(n)]
+    more, line = [], text(12)
+    for g in range(6):
+        base = text(rng.randint(40, 300))
+        for k in range(12):
+            w = list(base)
+            for _ in range(rng.randint(0, 1 + len(w) // 35)):
+                w[rng.randrange(len(w))] = f"n{rng.randrange(4000)}"
+            more.append((1000 + 20 * g + k, " ".join(w + line * (k % 2)), "en", "a"))
+    all_rows = rows + more
+    sets = [brute_sets(t) for _, t, _, _ in all_rows]
+    comp = list(range(len(sets)))
+    linked = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    for _ in range(len(sets)):
+        was = list(comp)
+        for i, j in linked:
+            comp[i] = comp[j] = min(comp[i], comp[j])
+        if was == comp:
+            break
+    last = lambda i: all_rows[i][0] if all_rows[i][0] is not None else 1 << 63
+    want = {min(last(i) for i in range(len(sets)) if comp[i] == k) for k in comp}
+    assert any(bin(brute_fp(all_rows[i][1]) ^ brute_fp(all_rows[j][1])).count("1") > 2 for i, j in linked)
+    table = docs.union(make_docs(spark, more))
+    if hubs:
+        got = corpus_pipeline.drop_near_duplicates(spark, table, "")
+    else:  # the exhaustive comparison alone finds the same
+        links = near_copies.links
+        monkeypatch.setattr(near_copies, "links", lambda *a: links(*a, hubs=0))
+        got = near_copies.one_of_each(table)
+    assert got.columns == table.columns
+    assert sorted(1 << 63 if r["doc_id"] is None else r["doc_id"] for r in got.collect()) == sorted(want)
+    assert near_copies.one_of_each(empty).count() == 0
