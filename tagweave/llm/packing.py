@@ -125,7 +125,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, length:
     dealt = both.repartition("part").sortWithinPartitions("part", "kind", "doc_id", F.xxhash64("text"), "queue")
 
     def run(batches):
-        coder = Encoder.of(tokenizer)
+        coder = Encoder.of(tokenizer, plain=True)
         width, end = coder.dtype.itemsize, np.array([end_id], coder.dtype).tobytes()
         part, held, targets, seen = None, [], {}, [0, 0]
 

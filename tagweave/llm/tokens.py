@@ -9,6 +9,9 @@ name and rename; a repeated task renames equal bytes over its own.
 
 Documents are sorted by (doc_id, hash of the text), null ids first; null texts are
 empty and still get their end id.  An empty table gives an empty manifest.
+
+Ids are those of the plain library call (``encode`` with add_special_tokens=False): a
+text that holds an added token literally, such as <|endoftext|>, gets that token's id.
 """
 
 from __future__ import annotations
@@ -40,16 +43,20 @@ def default_tokenizer() -> str:
 
 
 class Encoder:
-    """Ids of whole texts by the tokenizers library; words that recur are encoded once."""
+    """Ids of whole texts by the tokenizers library; words that recur are encoded once.
+
+    ``plain``: texts that hold an added token go through the plain call; else special tokens are spelled out.
+    """
 
-    _own: dict[str, "Encoder"] = {}
+    _own: dict[tuple[str, bool], "Encoder"] = {}
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         c.quiet_threads()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.added = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)") if plain else None
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {}
         # tokens that start with a space, which byte-level models write as U+0120
@@ -58,14 +65,21 @@ class Encoder:
         self.spaced[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
 
     @classmethod
-    def of(cls, path: str) -> "Encoder":
-        if path not in cls._own:
-            cls._own[path] = cls(path)
-        return cls._own[path]
+    def of(cls, path: str, plain: bool = False) -> "Encoder":
+        if (path, plain) not in cls._own:
+            cls._own[path, plain] = cls(path, plain)
+        return cls._own[path, plain]
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
+    def _with_added(self, text: str) -> bytes:
+        self.tokenizer.encode_special_tokens = False
+        try:
+            return self.whole(text)
+        finally:
+            self.tokenizer.encode_special_tokens = True
+
     def _learn(self, missing: list[str]) -> None:
         """Encodes words, each with a space before it, as one text, and cuts the ids where the words start."""
         width = self.dtype.itemsize
@@ -85,6 +99,9 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         out = []
         for text in texts:
+            if self.added and self.added.search(text):
+                out.append(self._with_added(text))
+                continue
             if len(self.known) > CACHE:
                 self.known.clear()
             parts, last = text.split(" "), None
@@ -134,7 +151,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: in
     data = data.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
 
     def run(batches):
-        coder, number = Encoder.of(tokenizer), TaskContext.get().partitionId()
+        coder, number = Encoder.of(tokenizer, plain=True), TaskContext.get().partitionId()
         fs, at = file_system(f"{folder}/ids-{number:05d}.bin")
         fs.create_dir(at.rpartition("/")[0], recursive=True)
         temporary, offsets, ids, end = f"{at}.{uuid.uuid4().hex}.tmp", [0], [], np.array([end_id], coder.dtype).tobytes()

@@ -398,3 +398,22 @@ def test_near_copies_of_five_words(spark, docs, rows, empty, hubs, monkeypatch):
     assert got.columns == table.columns
     assert sorted(1 << 63 if r["doc_id"] is None else r["doc_id"] for r in got.collect()) == sorted(want)
     assert near_copies.one_of_each(empty).count() == 0
+
+
+def test_added_tokens_by_the_plain_library_call(spark, rows):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokens.default_tokenizer())
+    texts = ["<|endoftext|>", "a <|endoftext|> b", "x<|endoftext|>y  ", "<|endoftext |> a b", "a b c", "b c <|endoftext|>\n<|endoftext|>"]
+    texts += [x for x in ODD] + [x or "" for _, x, _, _ in rows]
+    want = [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    assert any(t.token_to_id("<|endoftext|>") in w for w in want)
+    got = tokens.Encoder.of(tokens.default_tokenizer(), plain=True).encode(texts)
+    assert [np.frombuffer(g, "<u2").tolist() for g in got] == want
+    docs = make_docs(spark, [(i, x, "en", "a") for i, x in enumerate(texts)])
+    folder = common.new_path(spark, "t")
+    tokens.write(docs, folder)
+    crc = lambda ids, end: zlib.crc32(np.array([*ids, end], "<u4").tobytes())
+    assert {r["doc_id"]: r["ids_crc32"] for r in tokens.read(spark, folder).collect()} == {i: crc(w, 2) for i, w in enumerate(want)}
+    packed = packing.pack(docs, length=1 << 20).collect()
+    assert {r["doc_id"]: r["ids_crc32"] for r in packed} == {i: crc(w, 0) for i, w in enumerate(want)}
