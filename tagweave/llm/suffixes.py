@@ -1,6 +1,6 @@
 """Repeated passages by a sparse suffix array.
 
-A passage is a run of ``least`` (50) words, ``[^\\x20\\x09-\\x0D]+`` compared byte by byte,
+A passage is a run of ``least`` (50) words, ``[^\\x20\\x09-\\x0D]+`` compared by 64-bit hashes,
 that occurs at two places or more of the corpus, in one document or several.  A word is
 repeated if it lies in such a run.
 
