@@ -7,7 +7,10 @@ dominate go through :func:`heavy_join`.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
+import re
 import tempfile
 import uuid
 
@@ -21,19 +24,37 @@ from pyspark.sql import functions as F
 HEAVY_KEYS = 1000
 
 _tables: list[str] = []
+_own_dir: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of this cluster; a folder of our own only on a local master where none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="tagweave-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        if app not in _own_dir:
+            _own_dir[app] = "file://" + tempfile.mkdtemp(prefix="tagweave-")
+        found = _own_dir[app]
     return found.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 8 MB at most from here on, where the session keeps Spark's default of 64: texts may be long."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) in ("64MB", f"{64 << 20}b"):
+        spark.conf.set(key, f"{8 << 20}b")
+
+
+def rested() -> None:
+    """A Python worker that waits for its next task gives back what it holds."""
+    _cache.clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/tagweave/{name}-{uuid.uuid4().hex}"
     _tables.append(path)

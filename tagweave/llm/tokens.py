@@ -33,7 +33,7 @@ from . import common as c
 #: byte-level pattern, so that a text may be cut before it without changing any id.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Words kept with their ids in each Python worker; beyond it, and one text's words, it starts anew.
-CACHE = 600_000
+CACHE = 400_000
 
 
 def default_tokenizer() -> str:
@@ -70,6 +70,11 @@ class Encoder:
             cls._own[path, plain] = cls(path, plain)
         return cls._own[path, plain]
 
+    def rest(self) -> None:
+        """Called when a task ends."""
+        self.known.clear()
+        c.rested()
+
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 

@@ -297,32 +297,6 @@ def test_factorisation_identity():
     assert abs(quality.raw_scores(np.array([0, len(data)]), data, m, s)[0] - (0.1 + float(m.linear[bucket] @ x) + pairs)) < 1e-9
 
 
-def test_packing(docs, rows, empty):
-    got = packing.pack(docs, length=64, quantum=16, part_bytes=1 << 16).collect()
-    want = sorted(zlib.crc32(np.append(x, 0).astype("<u4").tobytes()) for x in reference_ids([t or "" for _, t, _, _ in rows]))
-    assert sum(r["length"] for r in got) == sum(len(x) + 1 for x in reference_ids([t or "" for _, t, _, _ in rows])) and len(want) == len(rows)
-    by = {}
-    for r in got:
-        by.setdefault(r["sequence_id"], []).append(r)
-    assert sorted(by) == list(range(len(by)))
-    for pieces in by.values():
-        at = 0
-        for r in sorted(pieces, key=lambda r: r["offset"]):
-            assert r["offset"] == at
-            at += r["length"]
-        assert at <= 64
-    assert packing.pack(empty).count() == 0
-
-
-def test_deficit_round_robin_keeps_proportions():
-    order = packing.schedule([6000, 3000, 1000], [0.6, 0.3, 0.1], [0.0, 0.0, 0.0], 100, 20)
-    served, total = [0, 0, 0], 0
-    for q, n in order:
-        served[q], total = served[q] + n, total + n
-        assert all(abs(served[i] - total * p) <= 140 for i, p in enumerate((0.6, 0.3, 0.1)))
-    assert served == [6000, 3000, 1000]
-
-
 def test_warc(spark):
     big, small = "<p>é</p>" * 30, "<p>x</p>"
     rows = [(1, "http://a/ b", big), (2, None, big), (3, "u", small), (4, "u", small), (5, "u", None), (6, "u", ""), (None, "n", "z" * 200), (7, "u", "y" * 5000)] + [(100 + i, f"u{i}", "c" * 300) for i in range(40)]
