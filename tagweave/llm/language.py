@@ -4,17 +4,20 @@ Subwords are runs of 2, 3 and 4 bytes of a word in lower case with a boundary on
 side, hashed into ``buckets``.  Each bucket has an embedding; a text is the mean of its
 subwords' embeddings, and a linear layer with softmax gives the languages.  Both are
 trained by stochastic gradient descent in numpy on a bounded sample of labelled rows
-(``per_language`` rows expected for each of at most ``languages`` languages, texts of at
-most ``train_bytes`` bytes, drawn by a hash of the id).  As the last layer is linear, the
+(``per_language`` rows and ``sample_bytes`` / languages bytes expected for each of at most
+``languages`` languages, texts of at most ``train_bytes`` bytes, drawn by a hash of id and
+text; rows equal in language and text count once).  As the last layer is linear, the
 mean of embeddings times weights equals the mean of per-bucket scores: only that table
-(buckets x languages) is broadcast.
+(buckets x languages) is broadcast.  Its values are multiples of 2**-14, so sums are exact
+and a text of any length scores the same in pieces as in one.
 
 A tenth of the sample, apart from training, fits the temperature of the softmax, so that
 scores are probabilities, and the rejection threshold: the largest value up to 0.5 under
 which at most ``reject_rate`` of those rows fall.
 
 Null texts and texts without a letter are ``und`` with score 0 and rejected; so is all
-text if no labelled row exists.  Whole texts are read, whatever their length.
+text if no labelled row exists.  Ids are integers; a null id keeps its row and is one of
+training's.  Repeated rows get a row each.  Whole texts are read.  Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common as c
@@ -32,8 +35,10 @@ from . import common as c
 _LETTER = re.compile(r"[^\W\d_]")
 _FOLD = c.LOWER.copy()
 _FOLD[[b for b in range(128) if not chr(b).isalpha()]] = 0x20
-#: a text is counted in pieces of so many bytes that overlap, so that long ones need no more memory
+#: a text is counted in pieces of so many bytes, so that long ones need no more memory: each subword in
+#: the piece where it starts, for which a piece also sees the three bytes after it
 PIECE = 1 << 18
+_GRAIN = 1 << 14
 
 
 @dataclass(frozen=True)
@@ -43,6 +48,7 @@ class Settings:
     languages: int = 500
     per_language: int = 700
     train_bytes: int = 1 << 16
+    sample_bytes: int = 1 << 28
     epochs: int = 4
     rate: float = 4.0
     reject_rate: float = 0.0005
@@ -67,14 +73,18 @@ def subwords(seg: np.ndarray, bounds: np.ndarray, buckets: int) -> tuple[np.ndar
     padded[np.arange(len(seg)) + doc + 1] = _FOLD[seg]
     of = np.zeros(len(padded), np.int32)
     of[1:] = np.repeat(np.arange(n_docs), np.diff(bounds) + 1)
+    found = list(_runs(padded, buckets, len(padded)))
+    # the second byte of a run belongs to its document, but for two bytes that end in a boundary
+    return np.concatenate([keys for _, keys, _ in found]), np.concatenate([of[at + (padded[at] == 0x20 if k == 2 else 1)] for at, _, k in found])
+
+
+def _runs(padded: np.ndarray, buckets: int, most: int):
+    """(starts, buckets, k) of the runs of k bytes that start before ``most``."""
     b, gap = padded.astype(np.uint32), padded == 0x20
-    found, docs = [], []
     for k in (2, 3, 4):
-        n = len(b) - k + 1
-        if n <= 0:
-            continue
+        n = max(0, min(len(b) - k + 1, most))
         h = b[:n].copy()
-        ok = ~(gap[:n] & gap[k - 1 :]) if k == 2 else np.ones(n, bool)
+        ok = ~(gap[:n] & gap[k - 1 : k - 1 + n]) if k == 2 else np.ones(n, bool)
         for j in range(1, k):
             h = h * np.uint32(0x01000193) ^ b[j : j + n]
             if j < k - 1:
@@ -82,9 +92,27 @@ def subwords(seg: np.ndarray, bounds: np.ndarray, buckets: int) -> tuple[np.ndar
         h = (h + np.uint32(k)) * np.uint32(0x85EBCA6B)
         h ^= h >> np.uint32(15)
         at = np.flatnonzero(ok)
-        found.append((h[at] % np.uint32(buckets)).astype(np.int64))
-        docs.append(of[at + k - 2])
-    return (np.concatenate(found), np.concatenate(docs)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int32))
+        yield at, (h[at] % np.uint32(buckets)).astype(np.int64), k
+
+
+def _totals(offsets: np.ndarray, data: np.ndarray, table: np.ndarray):
+    """(lo, hi, sums, n) of row ranges: sums of the table's rows over each document's subwords, and their number."""
+    buckets, k = table.shape
+    for lo, hi in c.chunks(offsets, PIECE):
+        base, size = offsets[lo], int(offsets[hi] - offsets[lo])
+        if hi - lo > 1 or size <= PIECE:
+            keys, doc = subwords(data[base : offsets[hi]], offsets[lo : hi + 1] - base, buckets)
+            yield lo, hi, np.stack([np.bincount(doc, table[:, j][keys], minlength=hi - lo) for j in range(k)], axis=1), np.bincount(doc, minlength=hi - lo)
+            continue
+        seen = np.zeros(buckets, np.int64)
+        for at in range(0, size + 2, PIECE):  # one long document with a boundary on each side
+            end = min(size + 2, at + PIECE + 3)
+            piece = np.full(end - at, 0x20, np.uint8)
+            inner = _FOLD[data[base + max(0, at - 1) : base + min(size, end - 1)]]
+            piece[at == 0 : (at == 0) + len(inner)] = inner
+            for _, keys, _ in _runs(piece, buckets, PIECE):
+                seen += np.bincount(keys, minlength=buckets)
+        yield lo, hi, (seen @ table.astype(np.float64))[None, :], np.array([seen.sum()])
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -124,7 +152,7 @@ def train(rows: list[tuple[bytes, str]], s: Settings = Settings()) -> Model | No
             w -= rate * 0.1 * np.outer(x, g)
             bias -= rate * 0.01 * g
             e[ids] -= rate * np.outer(share, back)
-    table = e @ w
+    table = np.round(e @ w * _GRAIN) / _GRAIN
     temperature, threshold = 1.0, 0.0
     if n_valid:
         logits = np.array([share @ table[ids] + bias for ids, share, _ in (data[i] for i in valid)])
@@ -136,17 +164,7 @@ def train(rows: list[tuple[bytes, str]], s: Settings = Settings()) -> Model | No
 
 def predict(offsets: np.ndarray, data: np.ndarray, model: Model) -> tuple[list[str], np.ndarray]:
     names, scores = [], np.zeros(len(offsets) - 1)
-    buckets, k = model.table.shape
-    for lo, hi in c.chunks(offsets, PIECE):
-        base, sums, n = offsets[lo], np.zeros((hi - lo, k)), np.zeros(hi - lo)
-        for at in range(0, max(1, int(offsets[hi] - base)), PIECE):
-            # more than one piece only if the range is one long document; pieces meet at a byte, not at a subword
-            end = min(int(offsets[hi] - base), at + PIECE)
-            bounds = np.clip(offsets[lo : hi + 1] - base, at, end) - at
-            keys, doc = subwords(data[base + at : base + end], bounds, buckets)
-            n += np.bincount(doc, minlength=hi - lo)
-            for j in range(k):
-                sums[:, j] += np.bincount(doc, model.table[:, j][keys], minlength=hi - lo)
+    for lo, hi, sums, n in _totals(offsets, data, model.table):
         p = _softmax((sums / np.maximum(n, 1)[:, None] + model.bias) / model.temperature)
         best = p.argmax(axis=1)
         scores[lo:hi] = p[np.arange(hi - lo), best]
@@ -155,13 +173,15 @@ def predict(offsets: np.ndarray, data: np.ndarray, model: Model) -> tuple[list[s
 
 
 def sample(docs: DataFrame, s: Settings = Settings(), text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> list[tuple[bytes, str]]:
-    """Labelled rows for training, at most about languages x per_language of them."""
+    """Labelled rows for training: about languages x per_language of them and sample_bytes at most, by expectation."""
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("lang IS NOT NULL AND text IS NOT NULL").filter(~c.held_out("id"))
-    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(s.languages)
-    share = F.pmod(F.xxhash64(F.lit(s.seed), "id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    few = F.broadcast(counts)  # s.languages rows at most
-    rows = known.join(few, "lang").filter(F.octet_length("text") <= s.train_bytes).filter(share * F.col("n") <= s.per_language).select(F.col("text").cast("binary").alias("text"), "lang", "id")
-    return [(bytes(r["text"]), r["lang"]) for r in sorted(rows.collect(), key=lambda r: (str(r["id"]), r["lang"]))]
+    known = known.filter(F.octet_length("text") <= s.train_bytes)
+    counts = known.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).orderBy(F.desc("n"), "lang").limit(s.languages)
+    share = F.pmod(F.xxhash64(F.lit(s.seed), "id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    few = F.broadcast(counts.withColumn("bytes_each", F.lit(s.sample_bytes) / F.count("*").over(Window.partitionBy(F.lit(0)))))  # s.languages rows at most
+    rows = known.join(few, "lang").filter((share * F.col("n") <= s.per_language) & (share * F.col("bytes") <= F.col("bytes_each")))
+    rows = rows.groupBy("lang", F.col("text").cast("binary").alias("text")).agg(F.min("id").alias("id"))
+    return [(bytes(r["text"]), r["lang"]) for r in sorted(rows.collect(), key=lambda r: (str(r["id"]), r["lang"], r["text"]))]
 
 
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -179,7 +199,7 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", id_co
                     names[i], scores[i] = "und", 0.0
             yield c.batch(schema, b.column(0), pa.array(names), scores, np.array([n == "und" or s < m.threshold for n, s in zip(names, scores)], bool))
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(c.tidy(run), "doc_id long, lang_pred string, score double, rejected boolean")
 
 
 def accepted(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
@@ -195,7 +215,7 @@ def accepted(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
                 keep &= predict(offsets, data, m)[1] >= m.threshold
             yield b.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(c.tidy(run), docs.schema)
 
 
 def has_letter(data: np.ndarray, lo: int, hi: int) -> bool:

@@ -182,15 +182,66 @@ def test_stages_keep_columns_whose_names_they_use_themselves(docs):
         assert got.columns == clash.columns and sorted(map(str, got.collect())) == sorted(str(r) for r in plain.toDF(*clash.columns).collect())
 
 
-def test_language_of_pieces_equals_that_of_the_whole(monkeypatch):
-    rows = [(("der und die " * 50).encode(), "de"), (("the and of " * 50).encode(), "en")] * 30
-    model = language.train(rows)
-    text = b"the and of " * 3000
+def small_model():
+    return language.train([(("der und die " * 50).encode(), "de"), (("the and of " * 50).encode(), "en")] * 30)
+
+
+def brute_language(text, model):
+    """Mean of bucket scores, byte by byte."""
+    raw = text.encode().lower() if text.isascii() else bytes(b + 32 if 65 <= b <= 90 else b for b in text.encode())
+    p = b" " + bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in raw) + b" "
+    total, n, buckets = np.zeros(len(model.names)), 0, len(model.table)
+    for k in (2, 3, 4):
+        for i in range(len(p) - k + 1):
+            g = p[i : i + k]
+            if 32 in g[1:-1] or g == b"  ":
+                continue
+            h = g[0]
+            for x in g[1:]:
+                h = (h * 0x01000193 % 2**32) ^ x
+            h = (h + k) * 0x85EBCA6B % 2**32
+            h ^= h >> 15
+            total += model.table[h % buckets]
+            n += 1
+    x = (total / max(n, 1) + model.bias) / model.temperature
+    e = np.exp(x - x.max())
+    return model.names[int(x.argmax())], float((e / e.sum()).max())
+
+
+def test_language_scores_against_brute_force():
+    model = small_model()
+    texts = ["the and of", "Der UND die", "", "x", "  a1b 22 the\u00e9 ", "of\tder"]
+    offsets = np.cumsum([0, *[len(t.encode()) for t in texts]])
+    names, scores = language.predict(offsets, np.frombuffer("".join(texts).encode(), np.uint8), model)
+    for t, name, score in zip(texts, names, scores):
+        want = brute_language(t, model)
+        assert name == want[0] and abs(score - want[1]) < 1e-9, t
+
+
+@pytest.mark.parametrize("piece", [7, 64, 1000])
+def test_language_of_pieces_equals_that_of_the_whole(monkeypatch, piece):
+    model = small_model()
+    text = b"the and of der \xc3\xa9 x  " * 300
     offsets, data = np.array([0, len(text)]), np.frombuffer(text, np.uint8)
     whole = language.predict(offsets, data, model)
-    monkeypatch.setattr(language, "PIECE", 1000)
+    monkeypatch.setattr(language, "PIECE", piece)
     pieces = language.predict(offsets, data, model)
-    assert whole[0] == pieces[0] == ["en"] and abs(whole[1][0] - pieces[1][0]) < 0.02
+    assert whole[0] == pieces[0] and whole[1].tolist() == pieces[1].tolist()
+
+
+def test_language_sample_is_bounded(spark):
+    text = [f"the and of {i} " * 20 for i in range(400)]
+    docs = make_docs(spark, [(None, t, "en", "a") for t in text] + [(None, "same row", "de", "a")] * 300)
+    assert len(language.sample(docs)) == 401  # rows with null ids differ by their texts; equal rows count once
+    assert 20 < len(language.sample(docs, language.Settings(per_language=60))) < 130
+    rows = language.sample(docs, language.Settings(sample_bytes=40_000))
+    assert 0 < sum(len(t) for t, _ in rows) < 40_000
+    assert language.sample(docs, language.Settings(languages=1)) and {x for _, x in language.sample(docs, language.Settings(languages=1))} == {"en"}
+
+
+def test_language_of_an_empty_table(empty):
+    assert language.identify(empty, small_model()).count() == 0 and language.accepted(empty, small_model()).count() == 0
+    assert language.identify(empty, None).count() == 0
 
 
 @pytest.mark.parametrize("block", [4_000_000, 40])
