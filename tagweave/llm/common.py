@@ -76,6 +76,19 @@ def release(spark: SparkSession) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def tidy(run):
+    """run for mapInArrow over texts: in small batches, and its worker gives back memory at the end of each task."""
+    small_batches(SparkSession.active())
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            rested()
+
+    return whole
+
+
 def free_names(df: DataFrame, *names: str) -> list[str]:
     """The names, each with underscores before it until no column of the table is called so."""
     taken, out = {x.lower() for x in df.columns}, []

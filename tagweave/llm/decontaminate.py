@@ -131,7 +131,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
                     names=["doc_id", "n_words", "spans", "items", *["row"] * (b.num_columns - 2)],
                 )
 
-        return narrow.mapInArrow(run, _FOUND + (", row long" if len(several) > 1 else ""))
+        return narrow.mapInArrow(c.tidy(run), _FOUND + (", row long" if len(several) > 1 else ""))
 
     if len(several) == 1:
         return scanned(several[0])
@@ -155,7 +155,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_windows
             for b in batches:
                 yield b.filter(pa.array([not spans for _, spans, _ in scan(*c.utf8(b.column(place)), shared.value)], pa.bool_()))
 
-        docs = (c.stored(docs, "clean") if k else docs).mapInArrow(run, docs.schema)
+        docs = (c.stored(docs, "clean") if k else docs).mapInArrow(c.tidy(run), docs.schema)
     return docs
 
 

@@ -173,7 +173,7 @@ def encoded(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: s
                     for k, x in zip(s.column(1).to_pylist(), ids):
                         own[k] = own.get(k, 0) + len(x) // coder.dtype.itemsize
         finally:
-            coder.rest()
+            coder.known.clear()
             if writer:
                 writer.close()
                 stream.close()
@@ -181,7 +181,7 @@ def encoded(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: s
             n = len(own)
             yield pa.RecordBatch.from_pydict({"task": pa.array([task] * n, pa.int32()), "file": pa.array([at.rpartition("/")[2]] * n), "source": pa.array(list(own), pa.int64()), "n": pa.array(list(own.values()), pa.int64())})
 
-    return c.stored(data.mapInArrow(run, "task int, file string, source long, n long"), "runs")
+    return c.stored(data.mapInArrow(c.tidy(run), "task int, file string, source long, n long"), "runs")
 
 
 def slices(runs: DataFrame, mixture: Mixture, folder: str, width: int) -> DataFrame:
@@ -228,7 +228,7 @@ def slices(runs: DataFrame, mixture: Mixture, folder: str, width: int) -> DataFr
                             [pa.array(part, pa.int64()), pa.array(queue[doc], pa.int32()), pa.array(lo, pa.int64()), s.column(0).take(pa.array(doc)), pa.array(lo - pos[doc], pa.int64()), pa.array(sizes[doc], pa.int64()), pa.array(cut, pa.binary()), pa.nulls(len(doc), pa.int64())],
                             names=["part", "queue", "pos", "doc_id", "first", "doc_tokens", "ids", "base"])
 
-    return bases.repartitionByRange(max(1, min(n_files, 100_000)), "file").mapInArrow(run, _SLICE)
+    return bases.repartitionByRange(max(1, min(n_files, 100_000)), "file").mapInArrow(c.tidy(run), _SLICE)
 
 
 def sequence_bases(spark: SparkSession, mixture: Mixture, length: int) -> DataFrame:
@@ -246,7 +246,7 @@ def sequence_bases(spark: SparkSession, mixture: Mixture, length: int) -> DataFr
                 n[i : i + 256] = (mix.cut(p + 1, every) - mix.cut(p, every)).sum(axis=1)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(-(-n // length), pa.int64())], names=["part", "n"])
 
-    counts = spark.range(0, mixture.parts).select(F.col("id").alias("part")).mapInArrow(run, "part long, n long")
+    counts = spark.range(0, mixture.parts).select(F.col("id").alias("part")).mapInArrow(c.tidy(run), "part long, n long")
     kinds = dict(x.rsplit(" ", 1) for x in _SLICE.split(", "))
     return c.running(counts, "part", "n", "base").select(*[F.col(k) if k in ("part", "base") else F.lit(None).cast(t).alias(k) for k, t in kinds.items()])
 
@@ -260,7 +260,6 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, length:
     spark, tokenizer = docs.sparkSession, tokenizer or default_tokenizer()
     if part_tokens % length:
         raise ValueError("a packing partition holds whole windows")
-    c.small_batches(spark)
     folder = c.new_path(spark, "packing")
     runs = encoded(docs, folder, tokenizer, end_id, id_col, text_col, source_col)
     width = Encoder.of(tokenizer, plain=True).dtype.itemsize
@@ -300,7 +299,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, length:
         if held:
             yield from pieces_of(part, base, held, mix, length, quantum, width, ids)
 
-    return dealt.mapInArrow(run, _PIECE + ", ids binary" * ids)
+    return dealt.mapInArrow(c.tidy(run), _PIECE + ", ids binary" * ids)
 
 
 def pieces_of(part: int, base: int, held: list[pa.RecordBatch], mix: Mixture, length: int, quantum: int, width: int, with_ids: bool):

@@ -168,7 +168,7 @@ def scored(docs: DataFrame, model: Model | None, s: Settings = Settings(), id_co
             x = logistic(raw_scores(*c.utf8(b.column(1)), m, s)) if m else np.full(b.num_rows, 0.5)
             yield c.batch(schema, b.column(0), x)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(c.tidy(run), "doc_id long, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -81,7 +81,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield c.batch(schema, b.column(0), b.column(1), fingerprints_of(*c.utf8(b.column(2)), size))
 
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), text.alias("text")).mapInArrow(run, "doc_id long, t long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), text.alias("text")).mapInArrow(c.tidy(run), "doc_id long, t long, fp long")
 
 
 def _moments(classes: DataFrame) -> tuple[int, np.ndarray]:
@@ -100,7 +100,7 @@ def _moments(classes: DataFrame) -> tuple[int, np.ndarray]:
             yield pa.RecordBatch.from_pydict({"k": pa.array(np.arange(len(i)), pa.int32()), "v": pa.array(total[i, j].astype(np.int64))})
 
     out = np.zeros((BITS, BITS))
-    for row in classes.select("fp").mapInArrow(run, "k int, v long").groupBy("k").agg(F.sum("v").alias("v")).collect():  # 2,080 rows at most
+    for row in classes.select("fp").mapInArrow(c.tidy(run), "k int, v long").groupBy("k").agg(F.sum("v").alias("v")).collect():  # 2,080 rows at most
         i, j = pairs[row["k"]]
         out[i, j] = out[j, i] = row["v"]
     return classes.count(), out

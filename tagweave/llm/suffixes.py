@@ -99,7 +99,7 @@ def sample(docs: DataFrame, least: int, gram: int, id_col: str, text_col: str) -
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(np.concatenate(n_words), pa.int32()), c.list_column(np.concatenate(hs), bounds, pa.int64()), c.list_column(np.concatenate(ps), bounds, pa.int32())], names=["id", "t", "crc", "size", "n_words", "h", "p"])
 
     keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL)).alias("id"), *[x.alias(k) for k, x in text_key(text_col).items()], F.col(text_col).cast("binary").alias("text"))
-    return keyed.mapInArrow(run, "id long, t long, crc long, size int, n_words int, h array<long>, p array<int>")
+    return keyed.mapInArrow(c.tidy(run), "id long, t long, crc long, size int, n_words int, h array<long>, p array<int>")
 
 
 def neighbours(df: DataFrame) -> DataFrame:
@@ -136,7 +136,7 @@ def neighbours(df: DataFrame) -> DataFrame:
                 j = at[i : i + (1 << 16)]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in ((k[j], pa.int64()), (a[j], pa.int64()), (b[j], pa.int64()), (d[j], pa.int32()), (first[j], pa.bool_()), (several[group[j]], pa.bool_()), (np.full(len(j), kind), pa.int32()))], names=["k", "a", "b", "c", "first", "several", "kind"])
 
-    compared = c.stored(df.select("k", "a", "b", "c").repartitionByRange("k", "a", "b", "c").sortWithinPartitions("k", "a", "b", "c").mapInArrow(run, "k long, a long, b long, c int, first boolean, several boolean, kind int"), "compared")
+    compared = c.stored(df.select("k", "a", "b", "c").repartitionByRange("k", "a", "b", "c").sortWithinPartitions("k", "a", "b", "c").mapInArrow(c.tidy(run), "k long, a long, b long, c int, first boolean, several boolean, kind int"), "compared")
     place = F.struct("a", "b", "c")
     edges = compared.filter(F.col("kind") != KNOWN)  # two rows per range at most
     told = edges.groupBy("k").agg(F.min(place).alias("least"), F.max(place).alias("most"), F.max("several").alias("any")).filter("least <> most OR any").select("k", "least")
@@ -173,7 +173,7 @@ def passages(docs: DataFrame, least: int = 50, gram: int = 16, id_col: str = "do
                 bounds = np.searchsorted(i, first)
                 yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], b.column(1)[lo:hi], c.list_column(runs[i].view(np.int64), bounds, pa.int64()), c.list_column(i - first[doc[i]], bounds, pa.int32())], names=["id", "t", "h", "p"])
 
-    runs = keyed.join(wanted, ["id", "t"]).select("id", "t", "text", "at").mapInArrow(extend, "id long, t long, h array<long>, p array<int>")
+    runs = keyed.join(wanted, ["id", "t"]).select("id", "t", "text", "at").mapInArrow(c.tidy(extend), "id long, t long, h array<long>, p array<int>")
     runs = c.stored(runs.filter("size(h) > 0").select("id", "t", F.explode(F.arrays_zip("h", "p")).alias("x")).select(F.col("x.h").alias("k"), F.col("id").alias("a"), F.col("t").alias("b"), F.col("x.p").alias("c")), "runs")
     found = neighbours(runs).groupBy(F.col("a").alias("id"), F.col("b").alias("t")).agg(F.collect_set(F.when(F.col("first"), F.col("c"))).alias("firsts"), F.collect_set(F.when(~F.col("first"), F.col("c"))).alias("others"))
     total = own.count()
@@ -190,7 +190,7 @@ def passages(docs: DataFrame, least: int = 50, gram: int = 16, id_col: str = "do
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([x[0] for x in out], kind), pa.array([x[1] for x in out], pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())])))], names=["doc_id", "t", "n_words", "spans", "removed"])
 
     every = reps.unionByName(copies).select(F.when(F.col("id") != _NULL, F.col("id")).alias("doc_id"), "t", "n_words", (F.col("rep") != F.col("other")).alias("copied"), (F.col("id") != F.col("rep")).alias("copy"), "firsts", "others")
-    return every.mapInArrow(settle, f"doc_id long, t long, n_words int, spans {_SPANS}, removed array<struct<s:int,e:int>>")
+    return every.mapInArrow(c.tidy(settle), f"doc_id long, t long, n_words int, spans {_SPANS}, removed array<struct<s:int,e:int>>")
 
 
 def _ranges(mask: np.ndarray) -> list[tuple[int, int]]:
@@ -252,7 +252,7 @@ def without_repeats(docs: DataFrame, least: int = 50, id_col: str = "doc_id", te
                 columns[place] = pa.array(texts, columns[place].type)
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_()))
 
-    out = keyed.mapInArrow(run, docs.schema)
+    out = keyed.mapInArrow(c.tidy(run), docs.schema)
     if size_col in names:
         out = out.withColumn(size_col, F.coalesce(F.char_length(text_col).cast(docs.schema[size_col].dataType), F.col(size_col)))
     return out

@@ -70,11 +70,6 @@ class Encoder:
             cls._own[path, plain] = cls(path, plain)
         return cls._own[path, plain]
 
-    def rest(self) -> None:
-        """Called when a task ends."""
-        self.known.clear()
-        c.rested()
-
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
@@ -169,6 +164,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: in
                     stream.write(x + end)
                     checksum = zlib.crc32(x + end, checksum)
                     offsets.append(offsets[-1] + len(x) // coder.dtype.itemsize + 1)
+        coder.known.clear()
         if not stream:
             return
         stream.close()
@@ -178,7 +174,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: in
         put(fs, at[:-4] + ".key", [keys.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes(), keys.is_null().to_numpy(zero_copy_only=False).astype("u1").tobytes()])
         yield pa.RecordBatch.from_pydict({"file": pa.array([number], pa.int32()), "n_docs": pa.array([len(keys)], pa.int64()), "n_ids": pa.array([offsets[-1]], pa.int64()), "width": pa.array([coder.dtype.itemsize], pa.int32()), "crc32": pa.array([checksum], pa.int64())})
 
-    files = c.stored(data.mapInArrow(run, "file int, n_docs long, n_ids long, width int, crc32 long"), "files")
+    files = c.stored(data.mapInArrow(c.tidy(run), "file int, n_docs long, n_ids long, width int, crc32 long"), "files")
     # one row per file: prefix sums of per-file totals, the ids stay where they are
     c.running(files, "file", "n_ids", "base").write.parquet(f"{folder}/manifest")
     return spark.read.parquet(f"{folder}/manifest")
@@ -212,7 +208,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                     s = slice(k, k + (1 << 16))
                     yield pa.RecordBatch.from_arrays([keys[s], pa.array(row["base"] + offsets[:-1][s], pa.int64()), pa.array(np.diff(offsets)[s], pa.int64()), pa.array(sums[s], pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.mapInArrow(c.tidy(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -88,7 +88,7 @@ def write(pages: DataFrame, folder: str, roll_bytes: int = 256 << 20, date: str
                 out.add(page, member(record(page, url, body, len(body), digest, to, date), level))
         yield from out.close()
 
-    done = c.stored(ordered.mapInArrow(run, "file string, n_records long, bytes long, sha256 string, first_id long, last_id long"), "warc-files")
+    done = c.stored(ordered.mapInArrow(c.tidy(run), "file string, n_records long, bytes long, sha256 string, first_id long, last_id long"), "warc-files")
     done.coalesce(1).sortWithinPartitions("file").write.parquet(f"{folder}/manifest")
     return spark.read.parquet(f"{folder}/manifest")
 
@@ -177,7 +177,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                 if held:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held), types)], names=names)
 
-    return files.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, file string")
+    return files.mapInArrow(c.tidy(run), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, file string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
