@@ -12,14 +12,25 @@ LETTER_MEANINGS = {
 }
 
 # Function codes that drawings use.
-KNOWN_CODES = (
-    "AE AI AIT AOV AT AY BDV FCV FE FFIC FI FIC FIT FQ FQI FS FT FY HCV HS HV KQI KY LCV LE LG LI LIC LIT LSH LSHH LSL LSLL LT LY MOV "
-    "PCV PDIT PDT PG PI PIC PIT PSH PSHH PSL PSLL PSV PT PY RO SDV SE SI ST SV SVC SVO TCV TE TI TIC TIT TSH TSL TT TW TY UA UIC UY "
-    "VE VI VT XA XV XY ZI ZS ZSC ZSO ZT ZY"
-).split()
+KNOWN_CODES = [
+    "AOV", "BDV", "MOV", "SDV", "XV", "FCV", "PCV", "TCV", "LCV", "HCV", "PSV", "RO",
+    "SV", "SVO", "SVC", "ZSO", "ZSC", "ZS", "ZT", "ZI", "ZY",
+    "PT", "PIT", "PDT", "PDIT", "PI", "PG", "PSH", "PSL", "PSHH", "PSLL",
+    "TT", "TIT", "TE", "TW", "TI", "TSH", "TSL",
+    "FT", "FIT", "FE", "FI", "FQ", "FQI", "FY", "FS",
+    "LT", "LIT", "LE", "LI", "LSH", "LSL", "LSHH", "LSLL", "LG",
+    "AT", "AIT", "AE", "AI",
+    "VT", "VE", "VI", "ST", "SE", "SI",
+    "FIC", "PIC", "TIC", "LIC", "FFIC", "UIC",
+    "PY", "TY", "LY", "AY", "UY", "KY",
+    "HS", "HV", "XY", "XA", "UA", "KQI",
+]
 
 # Characters that are read for one another, in both directions.
-CONFUSABLE = "O0 OQ OD Q0 I1 IL 17 1T S5 B8 Z2 G6 A4 A7 UV CG EF 93 65".split()
+CONFUSABLE = [
+    ("O", "0"), ("O", "Q"), ("O", "D"), ("Q", "0"), ("I", "1"), ("I", "L"), ("1", "7"), ("1", "T"), ("S", "5"), ("B", "8"), ("Z", "2"), ("G", "6"),
+    ("A", "4"), ("A", "7"), ("U", "V"), ("C", "G"), ("E", "F"), ("9", "3"), ("6", "5"),
+]
 
 # Accepted names of columns, lower case without separators; the first that has a value wins.
 SEED_ALIASES = {

@@ -31,7 +31,7 @@ def letters(token: Column) -> Column:
 
 
 def _pairs() -> Column:
-    return F.array(*[F.lit(x) for p in dims.CONFUSABLE for x in (p, p[::-1])])
+    return F.array(*[F.lit(x) for a, b in dims.CONFUSABLE for x in (a + b, b + a)])
 
 
 def confusable(a: Column, b: Column) -> Column:
@@ -63,6 +63,13 @@ def one_edit(a: Column, b: Column) -> Column:
     return one_substitution(a, b) | one_insertion(a, b) | one_insertion(b, a)
 
 
+def edit_keys(token: Column, target: bool) -> Column:
+    """Keys that a reading (else a target) shares with each text that one changed place, or one character more in the target, makes of it."""
+    cut = lambda i, put: F.concat(F.substring(token, F.lit(1), i - 1), F.lit(put), F.substring(token, i + 1, F.length(token)))
+    longer = F.transform(_places(token), lambda i: F.concat(F.lit("-"), cut(i, ""))) if target else F.array(F.concat(F.lit("-"), token))
+    return F.array_distinct(F.concat(F.transform(_places(token), lambda i: cut(i, "_")), longer))
+
+
 def correction_kind(a: Column, b: Column) -> Column:
     """How a reading a may stand for token b; null if it can't."""
     sa, la, sb, lb = stem(a), letters(a), stem(b), letters(b)

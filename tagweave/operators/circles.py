@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schema import BubbleView, CircleOptions
+from ..schema import BUBBLE_VIEWS, BubbleView, CircleOptions
 from .extract import suppress
 
 
@@ -121,17 +121,25 @@ def separated(peaks: DataFrame, apart: float = 1.2) -> DataFrame:
 
 def crop(pixels: np.ndarray, cx: float, cy: float, r: float, view: BubbleView, base_scale: float = 1.0) -> np.ndarray:
     """A square around a circle, scaled up by nearest pixels, white outside the page and the view's ellipse."""
-    side = max(1, int(_round(2 * r * view.pad)))
+    half = r * view.pad
+    side = max(1, int(_round(2 * half)))
     up = max(1.0, view.scale / base_scale)
     n = max(1, int(_round(side * up)))
     grid = np.floor((np.arange(n) + 0.5) / up).astype(np.int64)
-    xs, ys = grid + int(_round(cx - side / 2)), grid + int(_round(cy - side / 2))
+    xs, ys = grid + int(_round(cx - half)), grid + int(_round(cy - half))
     out = np.full((n, n, pixels.shape[2]), 255, np.uint8)
     oy, ox = (ys >= 0) & (ys < pixels.shape[0]), (xs >= 0) & (xs < pixels.shape[1])
     out[np.ix_(oy, ox)] = pixels[np.ix_(ys[oy], xs[ox])]
     return masked(out, view)
 
 
+def views(circles: DataFrame) -> DataFrame:
+    """Each circle once for each of BUBBLE_VIEWS: the region (x, y, w, h) of its page that a recogniser reads, its scale and mask."""
+    every = F.array(*[F.struct(F.lit(i).alias("variant"), *[F.lit(float(getattr(v, k))).alias(k) for k in ("scale", "pad", "rx", "ry")]) for i, v in enumerate(BUBBLE_VIEWS)])
+    half = F.col("r") * F.col("pad")
+    return circles.withColumn("_view", F.explode(every)).select("*", "_view.*").drop("_view").withColumns({"x": F.col("cx") - half, "y": F.col("cy") - half, "w": 2 * half, "h": 2 * half})
+
+
 def masked(region: np.ndarray, view: BubbleView) -> np.ndarray:
     """White outside the ellipse with half axes (w/2)(rx/pad) and (h/2)(ry/pad)."""
     h, w = region.shape[:2]

@@ -1,8 +1,8 @@
 """Corrections by consensus of a drawing: no reading is invented that its sheet doesn't support.
 
 All aggregates are by drawing (pages pooled unless ``same_page_only``) and computed once
-from the first readings.  A drawing's distinct tokens are joined by its id: a sheet of
-paper bounds them.
+from the first readings.  A drawing's distinct tokens are joined by what one edit leaves
+of them.  The note sentences are fixed values.
 """
 
 from __future__ import annotations
@@ -48,7 +48,11 @@ def corrections(tags: DataFrame, o: ReconcileOptions = ReconcileOptions()) -> Da
     odd = (F.col("stem") != "") & (F.length("stem") != F.coalesce("modal", F.lit(0)))
     marked = marked.withColumn("odd", odd).filter((F.col("support") <= o.weak_support) | F.col("odd"))
     target = tokens.select("sheet", F.col("token").alias("to"), F.col("support").alias("to_support"), "first_seq").withColumn("stem", S.stem(F.col("to"))).join(stems, ["sheet", "stem"], "left").select("sheet", "to", F.coalesce("stem_support", "to_support").alias("evidence"), "first_seq")
-    pairs = marked.join(target, "sheet").withColumn("kind", S.correction_kind(F.col("token"), F.col("to"))).filter("kind IS NOT NULL").filter(F.col("evidence") >= F.col("support") + F.when(F.col("odd"), 1).otherwise(o.support_margin))
+    # by token, not by tag; an equi-join on what one edit leaves of both, then the whole rule
+    reading = marked.select("sheet", "token", "support", "odd").distinct().withColumn("key", F.explode(S.edit_keys(F.col("token"), False)))
+    found = reading.join(target.withColumn("key", F.explode(S.edit_keys(F.col("to"), True))), ["sheet", "key"]).filter(F.col("evidence") >= F.col("support") + F.when(F.col("odd"), 1).otherwise(o.support_margin))
+    found = found.withColumn("kind", S.correction_kind(F.col("token"), F.col("to"))).filter("kind IS NOT NULL").select("sheet", "token", "to", "kind", "evidence", "first_seq").distinct()
+    pairs = marked.join(found, ["sheet", "token"])
     other = sub.select("sheet", F.col("token").alias("to"), F.col("cx").alias("ox"), F.col("cy").alias("oy"))
     away = F.hypot(F.col("ox") - F.col("cx"), F.col("oy") - F.col("cy"))
     near = pairs.join(other, ["sheet", "to"]).groupBy("sheet", "drawing_id", "id", "token", "to", "kind", "evidence", "first_seq").agg(F.min(away).alias("distance")).filter(F.col("distance") <= o.cluster_radius)

@@ -66,11 +66,11 @@ def confirmed_only(tags: DataFrame) -> DataFrame:
 
 
 def manual_tags(clicks: DataFrame, reviewer: str, now: str, width: float = 90, height: float = 36) -> DataFrame:
-    """clicks (drawing_id, tag_seq, page, fx, fy, page_width, page_height): new tags in boxes that stay on the page."""
-    x = F.greatest(F.lit(0.0), F.least(F.col("fx") * F.col("page_width") - width / 2, F.col("page_width") - width))
-    y = F.greatest(F.lit(0.0), F.least(F.col("fy") * F.col("page_height") - height / 2, F.col("page_height") - height))
+    """clicks (drawing_id, tag_seq, page, fx, fy, page_width, page_height): new tags in boxes around the clicks, each edge cut at the page's."""
+    cx, cy = F.col("fx") * F.col("page_width"), F.col("fy") * F.col("page_height")
+    box = {"x0": F.greatest(F.lit(0.0), cx - width / 2), "y0": F.greatest(F.lit(0.0), cy - height / 2), "x1": F.least(F.col("page_width"), cx + width / 2), "y1": F.least(F.col("page_height"), cy + height / 2)}
     given = {"type": "Manual", "state": "uncertain", "source": "manual", "pattern_name": "Manual", "origin": "bubble", "updated_at": now, "updated_by": reviewer}
-    return clicks.select("drawing_id", "tag_seq", F.concat(F.lit("manual-"), "drawing_id", F.lit("-"), F.col("tag_seq").cast("string")).alias("id"), F.lit("NEW-TAG").alias("text"), "page", F.lit(100.0).alias("confidence"), x.alias("x0"), y.alias("y0"), (x + width).alias("x1"), (y + height).alias("y1"), *[F.lit(given.get(c, "")).alias(c) for c in TAG_TEXTS])
+    return clicks.select("drawing_id", "tag_seq", F.concat(F.lit("manual-"), "drawing_id", F.lit("-"), F.col("tag_seq").cast("string")).alias("id"), F.lit("NEW-TAG").alias("text"), "page", F.lit(100.0).alias("confidence"), *[v.alias(k) for k, v in box.items()], *[F.lit(given.get(c, "")).alias(c) for c in TAG_TEXTS])
 
 
 def export_rows(tags: DataFrame) -> DataFrame:
@@ -88,8 +88,30 @@ def overlay(tags: DataFrame) -> DataFrame:
     return tags.filter(S.placed()).select("drawing_id", "page", F.col("x0").alias("x"), F.col("y0").alias("y"), (F.col("x1") - F.col("x0")).alias("w"), (F.col("y1") - F.col("y0")).alias("h"), colour.alias("colour"), F.col("text").alias("label"), F.greatest(F.lit(0.0), F.col("y0") - 4).alias("label_y"))
 
 
+def overlay_percent(tags: DataFrame) -> DataFrame:
+    """Boxes as percentages of their page (page_width, page_height); tags without an area aren't drawn."""
+    part = lambda x, of: x / F.col(of) * 100
+    at = {"left": part(F.col("x0"), "page_width"), "top": part(F.col("y0"), "page_height"), "width": part(F.col("x1") - F.col("x0"), "page_width"), "height": part(F.col("y1") - F.col("y0"), "page_height")}
+    return tags.filter(~((F.col("x1") <= F.col("x0")) & (F.col("y1") <= F.col("y0")))).withColumns(at)
+
+
+def detail_crop(tags: DataFrame, width: float, height: float, context: float) -> DataFrame:
+    """The region (sx, sy, sw, sh) of its page that shows a tag, and the scale: the box widened to the view's shape, ``context`` times as large, moved onto the page."""
+    scale = F.least(F.lit(width) / (F.col("x1") - F.col("x0")), F.lit(height) / (F.col("y1") - F.col("y0"))) / context
+    sized = tags.filter(S.placed_for_crop()).withColumn("scale", scale).withColumns({"sw": F.lit(width) / F.col("scale"), "sh": F.lit(height) / F.col("scale")})
+    onto = lambda low, high, span, page: F.greatest(F.lit(0.0), F.least(F.col(page) - F.col(span), (F.col(low) + F.col(high)) / 2 - F.col(span) / 2))
+    return sized.withColumns({"sx": onto("x0", "x1", "sw", "page_width"), "sy": onto("y0", "y1", "sh", "page_height")})
+
+
+def notices(tags: DataFrame, fixes: DataFrame) -> DataFrame:
+    """(drawing_id, unread, corrected): bubbles that couldn't be read and tags that were adjusted, of each drawing that has any."""
+    lost = tags.filter("type = 'Unreadable bubble'").groupBy("drawing_id").agg(F.count("*").alias("unread"))
+    mended = fixes.groupBy("drawing_id").agg(F.count_distinct("id").alias("corrected"))
+    return lost.join(mended, "drawing_id", "full").select("drawing_id", F.coalesce("unread", F.lit(0)).alias("unread"), F.coalesce("corrected", F.lit(0)).alias("corrected"))
+
+
 def report(names: DataFrame, column: str, most: int = 10) -> str:
-    """The first ten texts and how many more there are."""
-    n = names.count()
-    shown = [r[0] for r in names.select(column).limit(most).collect()]
-    return ", ".join(shown) + (f" (+{n - most} more)" if n > most else "")
+    """The first ten texts and how many more there are; counted only if there are more."""
+    shown = [r[0] for r in names.select(column).limit(most + 1).collect()]
+    more = names.count() - most if len(shown) > most else 0
+    return ", ".join(shown[:most]) + (f" (+{more} more)" if more else "")

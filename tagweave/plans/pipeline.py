@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,8 +11,8 @@ from ..operators import consensus, extract, votes
 from ..schema import ReconcileOptions, Settings
 
 
-def extract_drawing(words: DataFrame, circles: DataFrame | None = None, reads: DataFrame | None = None, settings: Settings = Settings(), options: ReconcileOptions = ReconcileOptions()) -> tuple[DataFrame, DataFrame]:
-    """(tags, corrections) of drawings: page words, and bubbles with their readings where there are any.  The tags below them stay persisted until the cache is cleared."""
+def extract_drawing(words: DataFrame, circles: DataFrame | None = None, reads: DataFrame | None = None, settings: Settings = Settings(), options: ReconcileOptions = ReconcileOptions(), keep: Callable[[DataFrame], DataFrame] = DataFrame.persist) -> tuple[DataFrame, DataFrame]:
+    """(tags, corrections) of drawings: page words, and bubbles with their readings where there are any.  ``keep`` holds the tags below them, which are read several times: persisted until the cache is cleared, if nothing else is given."""
     found, lost = words, None
     if settings.detect_bubbles and circles is not None and reads is not None:
         found = extract.united(words, votes.bubble_words(circles, reads))
@@ -19,8 +21,7 @@ def extract_drawing(words: DataFrame, circles: DataFrame | None = None, reads: D
     if lost is not None:
         last = tags.groupBy("drawing_id").agg(F.max("tag_seq").alias("_last"))
         tags = tags.unionByName(lost.join(last, "drawing_id", "left").withColumn("tag_seq", F.col("tag_seq") + F.coalesce("_last", F.lit(0))).drop("_last"))
-    # corrections read the tags several times: kept in memory or on disk, recomputed if an executor is lost
-    tags = tags.persist()
+    tags = keep(tags)
     fixes = consensus.corrections(tags, options)
     return consensus.reconcile(tags, options, fixes), fixes
 

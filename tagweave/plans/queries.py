@@ -115,7 +115,7 @@ def modal_stem_length(tags):
 
 
 def _one_of(a: str, b: str) -> str:
-    pairs = sorted({x for p in dims.CONFUSABLE for x in (p, p[::-1])})
+    pairs = sorted({x for a, b in dims.CONFUSABLE for x in (a + b, b + a)})
     return f"({a} = {b} OR {a} || {b} IN ({', '.join(repr(p) for p in pairs)}))"
 
 
@@ -309,10 +309,20 @@ def keep_confirmed(tags):
     return review.confirmed_only(tags).select("id", "text")
 
 
-@query(A.TAGS, f"SELECT tag_seq, greatest(0.0::DOUBLE, least(tag_seq % 100 / 100 * 1000 - 45, 1000 - 90)) AS x0, greatest(0.0::DOUBLE, least(tag_seq % 50 / 50 * 800 - 18, 800 - 36)) AS y0 FROM ({_T})")
+# a click's box is cut at each edge of the page on its own: on all four corners it gets smaller
+_CLICK = f"SELECT tag_seq, tag_seq % 101 / 100 * 1000 AS cx, tag_seq % 51 / 50 * 800 AS cy FROM ({_T})"
+
+
+@query(A.TAGS, f"""SELECT tag_seq, CASE WHEN cx < 45 THEN 0 ELSE cx - 45 END AS x0, CASE WHEN cy < 18 THEN 0 ELSE cy - 18 END AS y0,
+CASE WHEN cx > 955 THEN 1000 ELSE cx + 45 END AS x1, CASE WHEN cy > 782 THEN 800 ELSE cy + 18 END AS y1 FROM ({_CLICK})""")
 def manual_insert(tags):
-    clicks = tags.select("drawing_id", "tag_seq", "page", (F.col("tag_seq") % 100 / 100).alias("fx"), (F.col("tag_seq") % 50 / 50).alias("fy"), F.lit(1000.0).alias("page_width"), F.lit(800.0).alias("page_height"))
-    return review.manual_tags(clicks, "KG", NOW).select("tag_seq", "x0", "y0")
+    clicks = tags.select("drawing_id", "tag_seq", "page", (F.col("tag_seq") % 101 / 100).alias("fx"), (F.col("tag_seq") % 51 / 50).alias("fy"), F.lit(1000.0).alias("page_width"), F.lit(800.0).alias("page_height"))
+    return review.manual_tags(clicks, "KG", NOW).select("tag_seq", *BOX)
+
+
+@query(A.TAGS, f"""SELECT tag_seq, page, x0 / 2000 * 100 AS "left", y0 / 1500 * 100 AS top, (x1 - x0) / 2000 * 100 AS width, (y1 - y0) / 1500 * 100 AS height FROM ({_T}) WHERE NOT (x1 <= x0 AND y1 <= y0)""")
+def overlay_percent(tags):
+    return review.overlay_percent(tags.withColumns({"page_width": F.lit(2000.0), "page_height": F.lit(1500.0)})).select("tag_seq", "page", "left", "top", "width", "height")
 
 
 @query(A.WORDS, f"SELECT word_seq, y0 AS x0, 2000.0::DOUBLE - x1 AS y0, y1 AS x1, 2000.0::DOUBLE - x0 AS y1 FROM ({_W})")
@@ -320,9 +330,9 @@ def unrotate_box(words):
     return extract.unrotated(words.withColumn("h", F.lit(2000.0)), "h").select("word_seq", *BOX)
 
 
-@query(A.TAGS, f"SELECT drawing_id, page, x0 AS x, y0 AS y, x1 - x0 AS w, y1 - y0 AS h, text AS label, greatest(0.0::DOUBLE, y0 - 4) AS label_y FROM ({_T}) WHERE x1 > x0 OR y1 > y0")
+@query(A.TAGS, f"SELECT drawing_id, page, x0 AS x, y0 AS y, x1 - x0 AS w, y1 - y0 AS h, text AS label, greatest(0.0::DOUBLE, y0 - 4) AS label_y, CASE state WHEN 'confirmed' THEN '#22c55e' WHEN 'illegible' THEN '#ef4444' ELSE '#f59e0b' END AS colour FROM ({_T}) WHERE x1 > x0 OR y1 > y0")
 def annotated_overlay(tags):
-    return review.overlay(tags).drop("colour")
+    return review.overlay(tags)
 
 
 _EDGES = "SELECT CAST(floor(p_partkey / 40) AS INT) AS page, CAST(60 + round(20 * cos(p_partkey % 40 * 0.15707963267948966)) AS BIGINT) AS x, CAST(60 + round(20 * sin(p_partkey % 40 * 0.15707963267948966)) AS BIGINT) AS y, cos(p_partkey % 40 * 0.15707963267948966) AS ux, sin(p_partkey % 40 * 0.15707963267948966) AS uy, 120 AS width, 120 AS height FROM {part}"

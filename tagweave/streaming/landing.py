@@ -17,7 +17,13 @@ def watch(spark: SparkSession, landing: str, out: str, checkpoint: str, settings
     """Parquet files of words under ``landing`` become tags under ``out``, by batch: a repeated batch replaces its own."""
 
     def each(batch: DataFrame, number: int) -> None:
-        extract_drawing(batch, settings=settings)[0].write.mode("overwrite").parquet(f"{out}/batch={number}")
+        held: list[DataFrame] = []
+        found, _ = extract_drawing(batch, settings=settings, keep=lambda tags: held.append(tags.persist()) or held[-1])
+        try:
+            found.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        finally:
+            for tags in held:
+                tags.unpersist()
 
     writer = spark.readStream.schema(WORDS).parquet(landing).writeStream.option("checkpointLocation", checkpoint).foreachBatch(each)
     return (writer.trigger(availableNow=True) if once else writer).start()

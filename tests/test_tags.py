@@ -161,3 +161,63 @@ def test_entry_without_training_operators():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_crop_offsets_round_the_edge_not_the_side():
+    from tagweave.schema import BubbleView
+
+    page = np.zeros((300, 300, 3), np.uint8)
+    page[:, 42], page[42, :] = 200, 200
+    got = circles.crop(page, 100, 100, 36, BubbleView(1, 1.6, 9, 9))  # 36 * 1.6 = 57.6: from 42, 115 wide
+    assert got.shape[:2] == (115, 115) and (got[:, 0] == 200).all() and (got[0, :] == 200).all() and not got[1:, 1:].any()
+
+
+def test_views_of_circles(spark):
+    from tagweave.schema import BUBBLE_VIEWS
+
+    got = circles.views(spark.createDataFrame([("d", 1, 1, 100.0, 80.0, 36.0)], "drawing_id string, bubble_id int, page int, cx double, cy double, r double")).orderBy("variant").collect()
+    assert [(r["variant"], r["x"], r["w"]) for r in got] == [(i, 100 - 36 * v.pad, 2 * 36 * v.pad) for i, v in enumerate(BUBBLE_VIEWS)]
+
+
+def test_boxes_of_clicks_at_all_corners(spark):
+    clicks = [("d", i, 1, fx, fy, 1000.0, 800.0) for i, (fx, fy) in enumerate([(0.0, 0.0), (1.0, 0.0), (0.0, 1.0), (1.0, 1.0), (0.5, 0.5), (0.99, 0.5)])]
+    rows = review.manual_tags(spark.createDataFrame(clicks, "drawing_id string, tag_seq long, page int, fx double, fy double, page_width double, page_height double"), "KG", "now").orderBy("tag_seq").collect()
+    assert [(r["x0"], r["y0"], r["x1"], r["y1"]) for r in rows] == [(0, 0, 45, 18), (955, 0, 1000, 18), (0, 782, 45, 800), (955, 782, 1000, 800), (455, 382, 545, 418), (945, 382, 1000, 418)]
+
+
+def test_detail_crop_stays_on_the_page(spark):
+    t = tags(spark, [("a", "PT-1", 50, 50, {}), ("b", "PT-2", 500, 400, {})]).withColumns({"page_width": F.lit(1000.0), "page_height": F.lit(800.0)})
+    got = {r["id"]: r for r in review.detail_crop(t, 240, 120, 2.0).collect()}
+    # boxes of 80 x 60: the scale is min(240/80, 120/60) / 2
+    assert all(r["scale"] == 1.0 and (r["sw"], r["sh"]) == (240, 120) for r in got.values())
+    assert (got["a"]["sx"], got["a"]["sy"]) == (0, 0) and (got["b"]["sx"], got["b"]["sy"]) == (380, 340)
+
+
+def test_notices_and_report(spark):
+    fixes = spark.createDataFrame([("d", "a"), ("d", "a"), ("e", "x")], "drawing_id string, id string")
+    t = tags(spark, [("u", "?-1", 0, 0, {"type": "Unreadable bubble"}), ("v", "PT-1", 0, 0, {})])
+    assert sorted(map(tuple, review.notices(t, fixes).collect())) == [("d", 1, 1), ("e", 0, 1)]
+    names = spark.createDataFrame([(f"n{i:02d}",) for i in range(12)], "t string").coalesce(1)
+    assert review.report(names, "t") == ", ".join(f"n{i:02d}" for i in range(10)) + " (+2 more)" and review.report(names.limit(2), "t") == "n00, n01"
+
+
+def test_edit_keys_meet_wherever_a_correction_is_possible(spark):
+    rng = np.random.default_rng(3)
+    make = lambda: "".join(rng.choice(list("0123456789"), rng.integers(1, 6))) + "".join(rng.choice(list("AB"), rng.integers(0, 3)))
+    found = list({make() for _ in range(60)} | {"1321A", "13217", "1321", "1327", "378A", "1378A", ""})
+    t = spark.createDataFrame([(x,) for x in found], "a string")
+    both = t.crossJoin(t.withColumnRenamed("a", "b"))  # a small fixture
+    rows = both.select("a", "b", S.correction_kind(F.col("a"), F.col("b")).alias("k"), F.arrays_overlap(S.edit_keys(F.col("a"), False), S.edit_keys(F.col("b"), True)).alias("meet")).filter("k IS NOT NULL").collect()
+    assert len(rows) > 5 and all(r["meet"] for r in rows)
+
+
+def test_bubbles_to_reviewed_tags(spark):
+    """Votes, words, placeholders and reconciliation in one call."""
+    from tagweave.plans.pipeline import extract_drawing
+
+    places = [(0, "AOV", "1321A", 3576, 2169), (1, "SVO", "13217", 3306, 2160), (2, "ZSC", "1321", 3417, 2769), (3, "AOV", "1321", 3576, 2778), (4, "SVO", "1321", 3306, 2766), (5, None, "13214", 3417, 2067)]
+    rings = spark.createDataFrame([("d", i, 1, float(x), float(y), 40.0) for i, _, _, x, y in places], "drawing_id string, bubble_id long, page int, cx double, cy double, r double")
+    reads = spark.createDataFrame([("d", i, v, k, t, 80.0) for i, f, n, _, _ in places for v in (0, 1) for k, t in enumerate((f, n)) if t], "drawing_id string, bubble_id long, variant int, read_seq long, text string, confidence double")
+    got, _ = extract_drawing(spark.createDataFrame([], WORDS), rings, reads)
+    texts = {(r["text"], r["state"]) for r in got.collect()}
+    assert ("SVO-1321A", "uncertain") in texts and any(s == "illegible" and t.startswith("?-") for t, s in texts)
