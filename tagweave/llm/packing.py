@@ -173,7 +173,6 @@ def encoded(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: s
                     for k, x in zip(s.column(1).to_pylist(), ids):
                         own[k] = own.get(k, 0) + len(x) // coder.dtype.itemsize
         finally:
-            coder.known.clear()
             if writer:
                 writer.close()
                 stream.close()

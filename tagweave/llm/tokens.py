@@ -33,7 +33,7 @@ from . import common as c
 #: byte-level pattern, so that a text may be cut before it without changing any id.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Words kept with their ids in each Python worker; beyond it, and one text's words, it starts anew.
-CACHE = 400_000
+CACHE = 600_000
 
 
 def default_tokenizer() -> str:
@@ -164,7 +164,6 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: in
                     stream.write(x + end)
                     checksum = zlib.crc32(x + end, checksum)
                     offsets.append(offsets[-1] + len(x) // coder.dtype.itemsize + 1)
-        coder.known.clear()
         if not stream:
             return
         stream.close()
