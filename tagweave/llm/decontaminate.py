@@ -13,6 +13,8 @@ Null or wordless texts have no words and no hits; repeated documents each get a
 (several blocks need a distinct row number, which is then made); a null doc_id stays.
 Benchmark items without an id hit like any other and count, together, as one item that
 no list of ids names.
+
+Ids are integers, or text that Spark casts to them.
 """
 
 from __future__ import annotations

@@ -10,6 +10,8 @@ its verdict is joined back, and ``kept`` is false for base failures and failed h
 
 Words are ``[^\\x20\\x09-\\x0D]+``.  Only DataFrame and SQL functions.  A null text has no
 words; a null host is a host of its own; empty table: no rows.
+
+Ids are integers, or text that Spark casts to them.
 """
 
 from __future__ import annotations

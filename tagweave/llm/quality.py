@@ -18,6 +18,8 @@ true shares.
 
 Null and empty texts get the score of their structure features; no labels: 0.5 for all.
 Labels without quality and ids with contradicting labels aren't used.
+
+Ids are integers, or text that Spark casts to them.
 """
 
 from __future__ import annotations

@@ -14,6 +14,8 @@ any size, is never sorted in one task.
 Only DataFrame and SQL functions.  Null texts have no bytes (size 8, crc of nothing);
 null ids are hashed by their text alone; repeated rows take places of their own.  A text larger than
 an even share makes its shard larger.  Empty table: no rows, and a map of empty slots isn't needed.
+
+Ids are integers, or text that Spark casts to them.
 """
 
 from __future__ import annotations

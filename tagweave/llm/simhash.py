@@ -20,6 +20,8 @@ A fingerprint has 64 bits; two link at ``distance`` (2) or fewer differing bits.
 
 Null texts and texts without a word share the fingerprint zero and are linked like any
 other.  A null doc_id keeps its row and gets its component's id.  Empty table: no rows.
+
+Ids are integers, or text that Spark casts to them.
 """
 
 from __future__ import annotations

@@ -18,6 +18,8 @@ Texts that are equal as a whole are one text from the start (copies are wholly r
 A word is removed if it lies in a run that isn't the first of its kind, and in none that
 is.  Rows equal in id and text count as one document.  A null id orders before all
 others; null texts and texts under ``least`` words have no repeats; no rows in, none out.
+
+Ids are integers, or text that Spark casts to them.
 """
 
 from __future__ import annotations

@@ -12,6 +12,8 @@ empty and still get their end id.  An empty table gives an empty manifest.
 
 Ids are those of the plain library call (``encode`` with add_special_tokens=False): a
 text that holds an added token literally, such as <|endoftext|>, gets that token's id.
+
+Ids are integers, or text that Spark casts to them.
 """
 
 from __future__ import annotations

@@ -15,6 +15,8 @@ and each decision travels to its page inside the range sort, as a row just befor
 A null html is an empty payload; a null url is an empty one; a null page_id is written
 and read as null; of equal rows one is the response and the others revisit it.  An empty
 table gives an empty manifest.
+
+Ids are integers, or text that Spark casts to them.
 """
 
 from __future__ import annotations
