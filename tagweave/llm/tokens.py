@@ -18,7 +18,9 @@ Ids are integers, or text that Spark casts to them.
 
 from __future__ import annotations
 
+import functools
 import re
+import unicodedata
 import uuid
 import zlib
 
@@ -33,8 +35,8 @@ from . import common as c
 
 #: A space between two characters that aren't white space starts a token of its own in the
 #: byte-level pattern, so that a text may be cut before it without changing any id.
-_CUT = re.compile(r"(?<=\S) (?=\S)")
-#: Words kept with their ids in each Python worker; beyond it, and one text's words, it starts anew.
+_CUT = re.compile(r"(?<=\S)(?= \S)")
+#: Pieces kept with their ids in each Python worker, and one text's pieces: half of them the latest, half those before.
 CACHE = 600_000
 
 
@@ -44,8 +46,48 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@functools.cache
+def _pattern() -> tuple[re.Pattern, re.Pattern]:
+    """The byte-level pattern, and the characters for which the library's may differ.
+
+    Letters and numbers are those whose class has been the same since Unicode 3.2, so that no
+    version of the tables matters; all other characters beyond the first plane, controls that
+    are white space for some only, and younger ones, are left to the library.
+    """
+    old, kinds = unicodedata.ucd_3_2_0, {"L": [], "N": [], "?": []}
+    for i in range(1 << 16):
+        x = chr(i)
+        kind, before = unicodedata.category(x), old.category(x)
+        moved = kind[0] != before[0] and {kind[0], before[0]} & {"L", "N", "Z"}
+        unsure = before in ("Cn", "Cs") or moved or x in "\x1c\x1d\x1e\x1f\x85\u180e"
+        kind = "?" if unsure else kind[0]
+        if kind in kinds:
+            kinds[kind].append(i)
+    ranges = {}
+    for kind, found in kinds.items():
+        at = np.array(found)
+        edge = np.flatnonzero(np.diff(at) > 1)
+        ranges[kind] = "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in zip(at[np.r_[0, edge + 1]], at[np.r_[edge, len(at) - 1]]))
+    letter, number = ranges["L"], ranges["N"]
+    # fixed value: the pattern of byte-level tokenizers, letters first (no other branch may start with one)
+    whole = rf" ?[{letter}]+|'(?:s|t|re|ve|m|ll|d)| ?[{number}]+| ?[^\s{letter}{number}]+|\s+(?!\S)|\s+"
+    return re.compile(whole), re.compile(rf"[{ranges['?']}\U00010000-\U0010ffff]")
+
+
+def _byte_names() -> dict[int, str]:
+    """How byte-level models write bytes: printable ones as they are in Latin-1, the others, in turn, from U+0100 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(0x100 + i) for i, b in enumerate(others)}
+
+
 class Encoder:
-    """Ids of whole texts by the tokenizers library; words that recur are encoded once.
+    """Ids of whole texts by the tokenizers library; pieces that recur are encoded once.
+
+    A byte-level tokenizer cuts a text by a pattern and encodes each piece by itself.  So the
+    pieces are cut here, and the library's model encodes those that aren't known yet.  Pieces
+    with characters whose class depends on the version of Unicode, and all texts of other kinds of
+    tokenizers, go through the library as they are.
 
     ``plain``: texts that hold an added token go through the plain call; else special tokens are spelled out.
     """
@@ -61,10 +103,11 @@ class Encoder:
         self.added = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)") if plain else None
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {}
-        # tokens that start with a space, which byte-level models write as U+0120
-        vocabulary = self.tokenizer.get_vocab()
-        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.spaced[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
+        self.before: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        cutter = str(self.tokenizer.pre_tokenizer)
+        self.by_piece = cutter.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in cutter and self.tokenizer.normalizer is None and type(self.model).__name__ == "BPE" and not self.model.dropout
+        self.names = _byte_names()
 
     @classmethod
     def of(cls, path: str, plain: bool = False) -> "Encoder":
@@ -82,50 +125,39 @@ class Encoder:
         finally:
             self.tokenizer.encode_special_tokens = True
 
-    def _learn(self, missing: list[str]) -> None:
-        """Encodes words, each with a space before it, as one text, and cuts the ids where the words start."""
-        width = self.dtype.itemsize
-        for lo in range(0, len(missing), 4096):
-            words = missing[lo : lo + 4096]
-            text = " " + " ".join(words)
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
-            cut = np.flatnonzero(self.spaced[ids])
-            if len(cut) != len(words):
-                # a word that holds spaces itself: the slower call tells where tokens lie
-                at = np.array([s for s, _ in self.tokenizer.encode(text, add_special_tokens=False).offsets])
-                cut = np.searchsorted(at, np.cumsum([0, *[len(w) + 1 for w in words[:-1]]]))
-            ends = [*(cut * width).tolist(), len(ids) * width]
-            raw = ids.tobytes()
-            self.known.update(zip(words, [raw[i:j] for i, j in zip(ends, ends[1:])]))
+    def _learned(self, piece: str) -> bytes:
+        found = self.before.get(piece)
+        if found is None:
+            if _pattern()[1].search(piece):
+                found = self.whole(piece)
+            else:
+                plain = piece[0] == " " and piece.isascii() and piece[1:].isalnum()
+                name = self.names[0x20] + piece[1:] if plain else piece.encode().decode("latin-1").translate(self.names)
+                found = b"".join([t.id.to_bytes(self.dtype.itemsize, "little") for t in self.model.tokenize(name)])
+        self.known[piece] = found
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out = []
+        cut, unsure = _pattern()
         for text in texts:
             if self.added and self.added.search(text):
                 out.append(self._with_added(text))
                 continue
-            if len(self.known) > CACHE:
-                self.known.clear()
-            parts, last = text.split(" "), None
-            if len(text) < 4 or len(parts) < 2:
+            if not self.by_piece:
                 out.append(self.whole(text))
                 continue
-            head, missing = parts[0], []
-            got = list(map(self.known.get, parts[1:]))
+            if len(self.known) > CACHE // 2:
+                self.known, self.before = {}, self.known
+            known = self.known
+            if unsure.search(text):
+                pieces = [p for run in _CUT.split(text) for p in ([run] if unsure.search(run) else cut.findall(run))]
+            else:
+                pieces = cut.findall(text)
+            got = list(map(known.get, pieces))
             if None in got:
-                missing = list({w for w, g in zip(parts[1:], got) if g is None})
-            # words that are known neither start nor end with white space
-            if not head or head[-1].isspace() or any(not w or w[0].isspace() or w[-1].isspace() for w in missing):
-                head, *parts = _CUT.split(text)
-                if parts and parts[-1][-1].isspace():
-                    last = self.whole(" " + parts.pop())
-                missing = list({w for w in parts if w not in self.known})
-                self._learn(missing)
-                got = [self.known[w] for w in parts]
-            elif missing:
-                self._learn(missing)
-                got = [g or self.known[w] for g, w in zip(got, parts[1:])]
-            out.append(b"".join([self.whole(head), *got, last or b""]))
+                got = [known.get(p) or self._learned(p) if g is None else g for g, p in zip(got, pieces)]
+            out.append(b"".join(got))
         return out
 
 

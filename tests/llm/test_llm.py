@@ -291,6 +291,21 @@ def test_encoder_equals_the_library(rows, monkeypatch):
         assert np.array_equal(np.frombuffer(a, "<u2"), b), t
 
 
+def test_encoder_on_all_characters_and_on_random_texts(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE", 1000)
+    rng = random.Random(5)
+    every = [chr(i) for i in range(1, 1 << 16) if not 0xD800 <= i < 0xE000]
+    texts = [f"a{x}b {x}{x} 1{x}\n{x}." for x in every]
+    odd = [*"abZé' \n\t.,1½²٣ⅷ's\x1c\x85\u180e\u1680\u3000中ыß\U0001f600힣\u0301ª_-", *every[0x20:0x3000:37]]
+    texts += ["".join(rng.choice(odd if rng.random() < 0.5 else "ab '\n s1.t") for _ in range(rng.randint(0, 25))) for _ in range(10_000)]
+    coder = tokens.Encoder.of(tokens.default_tokenizer())
+    assert coder.by_piece
+    for t, a, b in zip(texts, coder.encode(texts), reference_ids(texts)):
+        assert np.array_equal(np.frombuffer(a, "<u2"), b), repr(t)
+    monkeypatch.setattr(coder, "by_piece", False)  # as for other kinds of tokenizers
+    assert [np.frombuffer(x, "<u2").tolist() for x in coder.encode(ODD)] == [x.tolist() for x in reference_ids(ODD)]
+
+
 def test_token_files(spark, docs, rows, empty):
     folder = common.new_path(spark, "t")
     tokens.write(docs, folder)
