@@ -47,9 +47,15 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, f"{8 << 20}b")
 
 
+#: called at the end of a task, to let go what the worker can do without
+at_rest: list = []
+
+
 def rested() -> None:
     """A Python worker that waits for its next task gives back what it holds."""
     _cache.clear()
+    for let_go in at_rest:
+        let_go()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)

@@ -19,6 +19,7 @@ Ids are integers, or text that Spark casts to them.
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 import unicodedata
 import uuid
@@ -36,8 +37,10 @@ from . import common as c
 #: A space between two characters that aren't white space starts a token of its own in the
 #: byte-level pattern, so that a text may be cut before it without changing any id.
 _CUT = re.compile(r"(?<=\S)(?= \S)")
-#: Pieces kept with their ids in each Python worker, and one text's pieces: half of them the latest, half those before.
+#: Pieces kept with their ids in a task, and one text's pieces: half of them the latest, half those before.
 CACHE = 600_000
+#: Pieces that a worker keeps between tasks: those it met first, which are the frequent ones.
+IDLE = 100_000
 
 
 def default_tokenizer() -> str:
@@ -115,6 +118,11 @@ class Encoder:
             cls._own[path, plain] = cls(path, plain)
         return cls._own[path, plain]
 
+    @classmethod
+    def rest(cls) -> None:
+        for own in cls._own.values():
+            own.known, own.before = dict(itertools.islice(own.known.items(), IDLE)), {}
+
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
@@ -161,6 +169,9 @@ class Encoder:
         return out
 
 
+c.at_rest.append(Encoder.rest)
+
+
 def texts_of(column: pa.Array) -> list[str]:
     return [b.decode("utf-8", "replace") if b is not None else "" for b in column.to_pylist()]
 
