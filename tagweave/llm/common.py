@@ -41,10 +41,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of 8 MB at most from here on, where the session keeps Spark's default of 64: texts may be long."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key) in ("64MB", f"{64 << 20}b"):
-        spark.conf.set(key, f"{8 << 20}b")
+    """Texts may be long: Arrow batches of 2 MB at most and Parquet batches of 1,024 rows from here on, where the session keeps Spark's defaults."""
+    for key, usual, small in (("spark.sql.execution.arrow.maxBytesPerBatch", ("64MB", f"{64 << 20}b"), f"{2 << 20}b"), ("spark.sql.parquet.columnarReaderBatchSize", ("4096",), "1024")):
+        if spark.conf.get(key) in usual:
+            spark.conf.set(key, small)
 
 
 #: called at the end of a task, to let go what the worker can do without
