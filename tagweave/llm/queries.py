@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, host_rules, language, packing, quality, sharding, simhash, suffixes, tokens, warc
+from . import decontaminate, host_rules, language, mixing, packing, quality, sharding, simhash, spelling, suffixes, tokens, warc, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": warc.query,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": quality.query,
     "op9_packing": packing.query,
     "op10_simhash": simhash.query,
+    "op11_whitening": whitening.query,
+    "op12_mixing": mixing.query,
+    "op13_spelling": spelling.query,
 }
 
 #: Models, fingerprints, token ids and balanced maps aren't within SQL: tests hold those against brute force.
@@ -27,4 +30,6 @@ ORACLE_SQL: dict[str, str] = {
     "op2_suffix_array": suffixes.ORACLE,
     "op3_host_rules": host_rules.ORACLE,
     "op5_decontamination": decontaminate.ORACLE,
+    "op12_mixing": mixing.ORACLE,
+    "op13_spelling": spelling.ORACLE,
 }
