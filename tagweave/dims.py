@@ -70,3 +70,6 @@ META_LABELS = {
 }
 STATES = ("uncertain", "confirmed", "illegible")
 UPLOAD_TYPES = ("pdf", "png", "jpg", "jpeg", "tif", "tiff", "bmp")
+# Colours of boxes on exported pages, and the characters that a circle's tag may hold.
+EXPORT_COLOURS = {"confirmed": "#16a34a", "uncertain": "#f59e0b", "illegible": "#dc2626"}
+TAG_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789-"

@@ -137,8 +137,13 @@ def csv_cell(x: Column) -> Column:
 
 
 def natural_key(x: Column) -> Column:
-    """Orders runs of digits by value."""
-    return F.array_join(F.transform(F.regexp_extract_all(x, F.lit("(\\d+|\\D+)"), 1), lambda p: F.when(p.rlike("^[0-9]"), F.lpad(p, 20, "0")).otherwise(F.lower(p))), "")
+    """Orders runs of digits by value, whatever their length: each run, without leading zeros, follows its own length in ten digits, so that a longer number is a larger key; leading zeros come last, to tell equal values apart."""
+    def key(p):
+        value = F.regexp_replace(p, "^0+(?=[0-9])", "")
+        return F.concat(F.lpad(F.length(value).cast("string"), 10, "0"), value)
+
+    parts = F.regexp_extract_all(x, F.lit("([0-9]+|[^0-9]+)"), 1)
+    return F.concat(F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), key(p)).otherwise(F.lower(p))), ""), F.lit("\x00"), x)
 
 
 def review_state(x: Column) -> Column:

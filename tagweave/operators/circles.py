@@ -10,6 +10,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -116,7 +117,70 @@ def bucket_peaks(votes: DataFrame, bucket: int = 4) -> DataFrame:
 def separated(peaks: DataFrame, apart: float = 1.2) -> DataFrame:
     """Circles by votes, none nearer to a stronger one than 1.2 of the larger radius."""
     clash = lambda a, b: F.hypot(a["cx"] - b["cx"], a["cy"] - b["cy"]) < apart * F.greatest(a["r"], b["r"])
-    return suppress(peaks, ("page",), [-F.col("votes"), F.col("r"), F.col("cy"), F.col("cx")], clash)
+    return suppress(peaks, ("page",), [-F.col("votes"), F.col("r"), F.col("cy"), F.col("cx")], clash, (F.col("cx"), F.col("cy"), apart * F.col("r")), ("cx", "cy", "r"))
+
+
+#: pixels of a tile's side
+TILE = 128
+
+
+def shrunk(pixels: DataFrame, scale: int, group: tuple[str, ...] = ("page",)) -> DataFrame:
+    """pixels (page, x, y, gray), all of a page, as means of squares of ``scale`` pixels; squares that aren't whole go."""
+    mean = pixels.groupBy(*group, F.floor(F.col("x") / scale).alias("x"), F.floor(F.col("y") / scale).alias("y")).agg(F.avg("gray").alias("gray"), F.count("*").alias("n"))
+    return mean.filter(F.col("n") == scale * scale).drop("n")
+
+
+def edges(pixels: DataFrame, pages: DataFrame, least: float = 60, group: tuple[str, ...] = ("page",), tile: int = TILE) -> DataFrame:
+    """pixels (page, x, y, gray) and pages (page, width, height) -> (page, x, y, ux, uy, width, height) of interior pixels with a steep gradient.
+
+    A page may be larger than a task: pixels go to their tile, and those at its rim to the neighbours that look at them,
+    so each tile has a halo of one pixel and no edge depends on how a page is cut.  Pixels that aren't given are white.
+    """
+    near = lambda v: F.array_distinct(F.array(*[F.floor((F.col(v) + d) / tile) for d in (-1, 0, 1)]))
+    dealt = pixels.join(pages, [*group]).withColumn("ty", F.explode(near("y"))).withColumn("tx", F.explode(near("x")))
+    kinds = dict(pixels.dtypes)
+    schema = ", ".join([f"{g} {kinds[g]}" for g in group] + ["x long", "y long", "ux double", "uy double", "width long", "height long"])
+    names = [*group, "x", "y", "ux", "uy", "width", "height"]
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        ty, tx = key[-2].as_py(), key[-1].as_py()
+        width, height = rows["width"][0].as_py(), rows["height"][0].as_py()
+        x, y = rows["x"].to_numpy() - tx * tile + 1, rows["y"].to_numpy() - ty * tile + 1
+        gray = np.full((tile + 2, tile + 2), 255.0)
+        gray[y, x] = rows["gray"].to_numpy()
+        px, py, ux, uy = _edges(gray, least)
+        px, py = px + tx * tile - 1, py + ty * tile - 1
+        inner = (px >= 1) & (px < width - 1) & (py >= 1) & (py < height - 1)
+        found = [px[inner], py[inner], ux[inner], uy[inner]]
+        n = int(inner.sum())
+        return pa.table([pa.array([k.as_py()] * n, k.type) for k in key[:-2]] + [pa.array(c) for c in found] + [pa.array(np.full(n, v, np.int64)) for v in (width, height)], names=names)
+
+    return dealt.groupBy(*group, "ty", "tx").applyInArrow(run, schema)
+
+
+def measured(found: DataFrame, dark: DataFrame, pages: DataFrame, o: CircleOptions = CircleOptions(), group: tuple[str, ...] = ("page",)) -> DataFrame:
+    """Circles (page, cx, cy, r) with ring, the share of points of the circumference that have ink within a pixel, and ink, the inked share of the disk inside; dark: (page, x, y) of inked pixels.
+
+    Points and disks are cells that meet dark ones in one equi-join; both shares are conditional sums by circle.
+    """
+    circle = [*group, "cx", "cy", "r"]
+    angles = [2 * math.pi * k / o.samples for k in range(o.samples)]
+    points = F.array(*[F.struct(F.lit(k).alias("k"), F.floor(F.col("cx") + F.col("r") * math.cos(a) + 0.5).alias("x"), F.floor(F.col("cy") + F.col("r") * math.sin(a) + 0.5).alias("y")) for k, a in enumerate(angles)])
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    own = found.select(*circle).distinct().join(pages, [*group])
+    ring = own.select(*circle, F.explode(points).alias("p")).select(*circle, "p.k", "p.x", "p.y", F.explode(around).alias("d")).select(*circle, "k", (F.col("x") + F.col("d.i")).alias("x"), (F.col("y") + F.col("d.j")).alias("y"))
+    inner = F.greatest(F.lit(1), F.floor(F.col("r") * o.inner + 0.5)).cast("int")
+    disk = own.withColumn("q", inner).withColumn("i", F.explode(F.sequence(-F.col("q"), "q"))).withColumn("j", F.explode(F.sequence(-F.col("q"), "q"))).filter("i * i + j * j <= q * q")
+    disk = disk.select(*circle, F.lit(-1).alias("k"), (F.col("cx") + F.col("i")).alias("x"), (F.col("cy") + F.col("j")).alias("y"), "width", "height").filter("x >= 0 AND y >= 0 AND x < width AND y < height").drop("width", "height")
+    inked = dark.select(*group, F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y")).distinct().withColumn("hit", F.lit(1))
+    cells = ring.unionByName(disk).join(inked, [*group, "x", "y"], "left").groupBy(*circle, "k").agg(F.count("hit").alias("hits"), F.count("*").alias("n"))
+    shares = cells.groupBy(*circle).agg((F.count_if((F.col("k") >= 0) & (F.col("hits") > 0)) / o.samples).alias("ring"), F.coalesce(F.max(F.when(F.col("k") == -1, F.col("hits") / F.col("n"))), F.lit(0.0)).alias("ink"))
+    return found.join(shares, circle)
+
+
+def verified(found: DataFrame, dark: DataFrame, pages: DataFrame, o: CircleOptions = CircleOptions(), group: tuple[str, ...] = ("page",)) -> DataFrame:
+    """Circles with enough ink on their circumference, and not too much inside."""
+    return measured(found, dark, pages, o, group).filter((F.col("ring") >= o.coverage) & (F.col("ink") <= o.ink)).drop("ring", "ink")
 
 
 def crop(pixels: np.ndarray, cx: float, cy: float, r: float, view: BubbleView, base_scale: float = 1.0) -> np.ndarray:

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import tables
 from ..functions import scalars as S
 from ..schema import BOX, Settings, TagPattern
 
@@ -93,16 +95,69 @@ def pair_matches(pairs: DataFrame, s: Settings = Settings()) -> DataFrame:
     return m.select(*PAGE, *BOX, "confidence", "origin", order.alias("ordinal"), "m.text", "m.pattern_id", "m.pattern_name", "m.func", "m.loop", "m.suffix")
 
 
-def suppress(rows: DataFrame, group: tuple[str, ...], priority: list[Column], clash) -> DataFrame:
-    """Accepts rows by priority unless they clash with one accepted before; a group is one page, whose symbols a sheet of paper bounds."""
+#: groups of more rows than this are settled by rounds instead of a fold in one task
+FOLD = 512
+
+
+def suppress(rows: DataFrame, group: tuple[str, ...], priority: list[Column], clash, place: tuple[Column, Column, Column], same: tuple[str, ...], fold: int = FOLD) -> DataFrame:
+    """Accepts rows by priority unless they clash with one accepted before.
+
+    place: (x, y, size) such that rows clash only if neither coordinate differs by the larger size.  same: columns whose
+    equal values make rows clash with each other and with the same others.  Groups of up to ``fold`` rows are folded,
+    each in one task; larger ones take rounds over pairs of clashing neighbours, with the same result.
+    """
+    held = tables.stored(rows.withColumn("_id", F.monotonically_increasing_id()), "candidates")
+    large = tables.stored(held.groupBy(*group).agg(F.count("*").alias("_n")).filter(F.col("_n") > fold).select(*group), "large")
+    if large.isEmpty():
+        return _folded(held.drop("_id"), group, priority, clash)
+    own = held.join(large, [*group], "left_semi")
+    return _folded(held.join(large, [*group], "left_anti").drop("_id"), group, priority, clash).unionByName(own.join(_beaten(own, group, priority, clash, place, same), "_id", "left_anti").drop("_id"))
+
+
+def _folded(rows: DataFrame, group: tuple[str, ...], priority: list[Column], clash) -> DataFrame:
     ranked = rows.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(*[p.alias(f"_{i}") for i, p in enumerate(priority)], F.struct(*[c for c in rows.columns if c not in group]).alias("row")))).alias("all"))
     kept = F.aggregate("all", F.slice("all", 1, 0), lambda acc, x: F.when(F.exists(acc, lambda a: clash(a["row"], x["row"])), acc).otherwise(F.concat(acc, F.array(x))))
     return ranked.select(*group, F.explode(kept).alias("k")).select(*group, "k.row.*")
 
 
-def suppress_overlaps(candidates: DataFrame, s: Settings = Settings()) -> DataFrame:
+def _beaten(rows: DataFrame, group: tuple[str, ...], priority: list[Column], clash, place: tuple[Column, Column, Column], same: tuple[str, ...]) -> DataFrame:
+    """(_id) of the rows that aren't accepted.
+
+    A row that no clashing one precedes is accepted, and all that clash with it are out; of the others, again.  Each
+    round settles the first of all open rows at least.  Neighbours are found on grids: a row lies in one cell of its own
+    scale and of each coarser one, and looks into the nine cells around it.
+    """
+    rank = F.struct(*[p.alias(f"_{i}") for i, p in enumerate(priority)], F.col("_id").alias("_last"))
+    x, y, size = place
+    inside = [c for c in rows.columns if c not in (*group, "_id")]
+    level = F.floor(F.log2(F.greatest(size.cast("double"), F.lit(1.0)))).cast("int") + 1
+    df = rows.select(*group, "_id", rank.alias("rank"), F.struct(*inside).alias("row"), x.alias("px"), y.alias("py"), level.alias("level"))
+    first = Window.partitionBy(*group, *[F.col(f"row.{c}") for c in same]).orderBy("rank")
+    df = tables.stored(df.withColumn("_k", F.row_number().over(first)), "ranked")
+    copies, df = df.filter("_k > 1").select("_id"), df.filter("_k = 1").drop("_k")
+    top = df.agg(F.max("level")).first()[0] or 0
+    cell = lambda v: F.floor(v / F.pow(F.lit(2.0), F.col("at"))).cast("long")
+    scaled = df.withColumn("at", F.explode(F.sequence("level", F.lit(top)))).withColumns({"gx": cell(F.col("px")), "gy": cell(F.col("py"))})
+    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    keys = [*group, "at", "gx", "gy"]
+    left = scaled.select(*keys, F.col("level").alias("la"), F.col("rank").alias("ra"), F.col("row").alias("a"), F.col("_id").alias("hi"))
+    right = scaled.withColumn("d", around).withColumns({"gx": F.col("gx") + F.col("d.i"), "gy": F.col("gy") + F.col("d.j")}).select(*keys, F.col("level").alias("lb"), F.col("rank").alias("rb"), F.col("row").alias("b"), F.col("_id").alias("lo"))
+    met = left.join(right, keys).filter((F.greatest("la", "lb") == F.col("at")) & (F.col("ra") < F.col("rb")) & clash(F.col("a"), F.col("b")))
+    pairs, out = tables.stored(met.select("hi", "lo"), "clashes"), [copies]
+    while not pairs.isEmpty():
+        won = pairs.select("hi").distinct().join(pairs.select(F.col("lo").alias("hi")).distinct(), "hi", "left_anti")
+        lost = tables.stored(pairs.join(won, "hi", "left_semi").select(F.col("lo").alias("_id")).distinct(), "lost")
+        out.append(lost)
+        pairs = tables.stored(pairs.join(lost.withColumnRenamed("_id", "hi"), "hi", "left_anti").join(lost.withColumnRenamed("_id", "lo"), "lo", "left_anti").select("hi", "lo"), "clashes")
+    return reduce(DataFrame.unionByName, out)
+
+
+def suppress_overlaps(candidates: DataFrame, s: Settings = Settings(), fold: int = FOLD) -> DataFrame:
     first = [F.when(F.col("origin") == "bubble", 0).otherwise(1), -F.length("text"), -F.col("confidence"), F.col("ordinal")]
-    return suppress(candidates, PAGE, first, lambda a, b: S.iou(a, b) > s.overlap)
+    place = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2, F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+    same = (*BOX,) if s.overlap < 1 else ("ordinal",)
+    flat = candidates.withColumn("_flat", F.when((F.col("x1") <= F.col("x0")) | (F.col("y1") <= F.col("y0")), F.col("ordinal")))  # boxes without an area overlap nothing, not even their like
+    return suppress(flat, PAGE, first, lambda a, b: S.iou(a, b) > s.overlap, place, (*same, "_flat"), fold).drop("_flat")
 
 
 def candidates(words: DataFrame, s: Settings = Settings()) -> DataFrame:

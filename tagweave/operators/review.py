@@ -104,9 +104,9 @@ def detail_crop(tags: DataFrame, width: float, height: float, context: float) ->
 
 
 def notices(tags: DataFrame, fixes: DataFrame) -> DataFrame:
-    """(drawing_id, unread, corrected): bubbles that couldn't be read and tags that were adjusted, of each drawing that has any."""
+    """(drawing_id, unread, corrected): bubbles that couldn't be read and readings that were adjusted, up to two of a tag, of each drawing that has any."""
     lost = tags.filter("type = 'Unreadable bubble'").groupBy("drawing_id").agg(F.count("*").alias("unread"))
-    mended = fixes.groupBy("drawing_id").agg(F.count_distinct("id").alias("corrected"))
+    mended = fixes.groupBy("drawing_id").agg(F.count("*").alias("corrected"))
     return lost.join(mended, "drawing_id", "full").select("drawing_id", F.coalesce("unread", F.lit(0)).alias("unread"), F.coalesce("corrected", F.lit(0)).alias("corrected"))
 
 

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .. import dims
+from .. import dims, tables
 from ..functions import scalars as S
 from ..operators import circles, consensus, extract, lines, merge, review, votes
-from ..schema import BOX, MergeOptions, ReconcileOptions
-from ..sources import sinks
+from ..schema import BOX, CircleOptions, MergeOptions, ReconcileOptions
+from ..sources import readers, sinks
 from . import adapters as A
 from .pipeline import extract_drawing
 
@@ -355,5 +356,64 @@ def circle_suppression(edges):
     return circles.separated(circles.bucket_peaks(circles.hough_votes(edges, 18, 22)))
 
 
+# rings of ink, each point 2 x 2 pixels, on pages of 120 x 120
+_PIXELS = "SELECT page, x, y, CAST(min(gray) AS DOUBLE) AS gray FROM (SELECT CAST(floor(p_partkey / 40) AS INT) AS page, CAST(60 + round(20 * cos(p_partkey % 40 * 0.15707963267948966)) AS BIGINT) + dx AS x, CAST(60 + round(20 * sin(p_partkey % 40 * 0.15707963267948966)) AS BIGINT) + dy AS y, p_partkey % 7 * 20 AS gray FROM {part} CROSS JOIN (VALUES (0, 0), (1, 0), (0, 1), (1, 1)) AS d(dx, dy)) q GROUP BY page, x, y"
+_SIDE = 120
+_SOBEL = [(dx, dy, dx * (2 - abs(dy)), dy * (2 - abs(dx))) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
+
+
+def _pages(pixels):
+    return pixels.select("page").distinct().withColumns({"width": F.lit(_SIDE).cast("long"), "height": F.lit(_SIDE).cast("long")})
+
+
+@query(_PIXELS, f"""WITH g AS (SELECT page, x - dx AS x, y - dy AS y, sum((gray - 255) * wx) AS gx, sum((gray - 255) * wy) AS gy FROM ({A.oracle(_PIXELS)}), (VALUES {', '.join(map(str, _SOBEL))}) AS s(dx, dy, wx, wy) GROUP BY ALL)
+SELECT page, x, y, gx / sqrt(gx * gx + gy * gy) AS ux, gy / sqrt(gx * gx + gy * gy) AS uy FROM g WHERE gx * gx + gy * gy > 3600 AND x BETWEEN 1 AND {_SIDE - 2} AND y BETWEEN 1 AND {_SIDE - 2}""")
+def edge_pixels(pixels):
+    return circles.edges(pixels, _pages(pixels), tile=64).select("page", "x", "y", "ux", "uy")
+
+
+_C = CircleOptions(min_radius=18, max_radius=22, downsample=1)
+_ANGLES = [(k, math.cos(2 * math.pi * k / _C.samples), math.sin(2 * math.pi * k / _C.samples)) for k in range(_C.samples)]
+
+
+def circle_verification(spark, sf_dir):
+    """Circles that votes have found, and whether the pixels bear them out."""
+    found = QUERIES["circle_suppression"](spark, sf_dir)
+    pixels = A.view(spark, sf_dir, _PIXELS)
+    shares = circles.measured(found, pixels.filter(F.col("gray") < _C.dark), _pages(pixels), _C)
+    return shares.select("page", "cx", "cy", "r", "ring", "ink", ((F.col("ring") >= _C.coverage) & (F.col("ink") <= _C.ink)).alias("kept"))
+
+
+QUERIES["circle_verification"] = circle_verification
+ORACLE_SQL["circle_verification"] = f"""WITH found AS ({ORACLE_SQL['circle_suppression']}), dark AS (SELECT page, x, y FROM ({A.oracle(_PIXELS)}) WHERE gray < {_C.dark}),
+point AS (SELECT page, cx, cy, r, k, floor(cx + r * c + 0.5) AS x, floor(cy + r * s + 0.5) AS y FROM found, (VALUES {', '.join(map(repr, _ANGLES))}) AS a(k, c, s)),
+ring AS (SELECT page, cx, cy, r, count(DISTINCT k) AS n FROM point JOIN dark USING (page) WHERE abs(point.x - dark.x) <= 1 AND abs(point.y - dark.y) <= 1 GROUP BY ALL),
+cell AS (SELECT page, cx, cy, r, cx + i AS x, cy + j AS y FROM found, unnest(range(-40, 41)) AS a(i), unnest(range(-40, 41)) AS b(j) WHERE i * i + j * j <= pow(greatest(1, floor(r * {_C.inner} + 0.5)), 2)),
+disk AS (SELECT page, cx, cy, r, count(dark.x) / count(*) AS ink FROM cell LEFT JOIN dark USING (page, x, y) WHERE x BETWEEN 0 AND {_SIDE - 1} AND y BETWEEN 0 AND {_SIDE - 1} GROUP BY ALL)
+SELECT page, cx, cy, r, ring, ink, ring >= {_C.coverage} AND ink <= {_C.ink} AS kept FROM (SELECT found.page, found.cx, found.cy, found.r, coalesce(n, 0) / {_C.samples} AS ring, coalesce(ink, 0) AS ink FROM found LEFT JOIN ring USING (page, cx, cy, r) LEFT JOIN disk USING (page, cx, cy, r))"""
+
+
+def csv_lenient_source(spark, sf_dir):
+    """Whole documents as CSV files, quotes and line ends included, written by executors and parsed again."""
+    shown = ["doc_id", "source", "lang", "text"]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in shown])
+    line = docs.select(F.concat_ws(",", *[S.csv_cell(F.col(c)) for c in shown]).alias("line"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("i"))
+    path = tables.new_path(spark, "csv")  # each file begins with the header
+    line.select(F.explode(F.when(F.col("i") == 0, F.array(F.lit(",".join(shown)), "line")).otherwise(F.array("line"))).alias("line")).write.text(path, lineSep="\n")
+    cells = [F.get("cells", F.lit(i)) for i in range(len(shown))]
+    return readers.lenient_csv(spark, path).select(cells[0].cast("long").alias("doc_id"), cells[1].alias("source"), cells[2].alias("lang"), F.char_length(cells[3]).cast("long").alias("n_chars"), F.md5(cells[3]).alias("text_md5"), F.size("cells").alias("n_cells"))
+
+
+QUERIES["csv_lenient_source"] = csv_lenient_source
+ORACLE_SQL["csv_lenient_source"] = "SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, CAST(length(coalesce(text, '')) AS BIGINT) AS n_chars, md5(coalesce(text, '')) AS text_md5, CAST(4 AS INT) AS n_cells FROM documents"
+
+
+@query(A.LINES, f"""WITH l AS ({_L}) SELECT l_orderkey, l_linenumber, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY list_transform(regexp_extract_all(line_number, '([0-9]+|[^0-9]+)'),
+lambda p: {{'n': CASE WHEN regexp_matches(p, '^[0-9]') THEN CAST(p AS HUGEINT) ELSE -1 END, 't': CASE WHEN regexp_matches(p, '^[0-9]') THEN '' ELSE lower(p) END}}), line_number, l_linenumber) AS INT) AS place FROM l""")
+def natural_order(rows):
+    order = Window.partitionBy("l_orderkey").orderBy(S.natural_key(F.col("line_number")), "l_linenumber")
+    return rows.select("l_orderkey", "l_linenumber", F.row_number().over(order).alias("place"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["tags_reconciled"](spark, sf_dir)

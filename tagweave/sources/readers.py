@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from typing import Protocol
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .. import dims
+from .. import dims, tables
 from ..functions import scalars as S
 from ..operators import lines
+from . import csvs
 
 
 class PageRenderer(Protocol):
@@ -28,10 +28,6 @@ class WordRecognizer(Protocol):
     def words(self, width: int, height: int, data: bytes) -> Iterator[tuple[str, float, float, float, float, float]]: ...
 
 
-def normal_header(name: str) -> str:
-    return re.sub(r"[\s_-]+", "", name.strip().lower())
-
-
 def files(spark: SparkSession, path: str) -> DataFrame:
     """Accepted uploads with their kind; a PDF by its name, anything else is an image."""
     glob = "*.{" + ",".join(x for t in dims.UPLOAD_TYPES for x in (t, t.upper())) + "}"
@@ -57,71 +53,56 @@ def rendered(documents: DataFrame, renderer: PageRenderer, scale: float) -> Data
     return documents.select("path", "content").mapInPandas(run, "drawing_id string, page int, height int, width int, n_channels int, data binary")
 
 
-#: a field: opened by a quote at its start, where a quote ends it only before a comma, a line's end or the end of the text; or plain text
-_FIELD = re.compile(r'"((?:""|"(?![,\r\n]|\Z)|[^"])*)(?:"|\Z)|([^,\r\n]*)')
+def lenient_csv(spark: SparkSession, path: str) -> DataFrame:
+    """(drawing_id, row_seq, header, cells) of hand-written CSV files, each with a header of its own; drawing_id is the file's path.  Files are parsed in parallel, however large: see csvs."""
+    rows = csvs.rows_of(spark, path)
+    heads = rows.filter("row_seq = -1").select("file", F.col("cells").alias("header"))
+    return rows.filter("row_seq >= 0").join(csvs.few(tables.stored(heads, "heads")), "file").select(F.col("file").alias("drawing_id"), "row_seq", "header", "cells")
 
 
-def cells_of(text: str) -> list[list[str]]:
-    """Rows of a hand-written CSV text; blank ones go.  Line ends may be mixed, so Spark's own reader, which settles on one, doesn't fit."""
-    text, at, rows, row = text.removeprefix("\ufeff"), 0, [], []
-    while at < len(text):
-        m = _FIELD.match(text, at)
-        row.append(m[1].replace('""', '"') if m[1] is not None else m[2])
-        at = m.end()
-        if text[at : at + 1] == ",":
-            at += 1
-            if at == len(text):
-                row.append("")
-            continue
-        rows.append(row)
-        row, at = [], at + (2 if text[at : at + 2] == "\r\n" else 1)
-    rows += [row] if row else []
-    return [r for r in rows if any(c.strip() for c in r)]
+def headers(spark: SparkSession, path: str) -> DataFrame:
+    """(drawing_id, header): the first row with text of each file, also of one without another row."""
+    return csvs.rows_of(spark, path).filter("row_seq = -1").select(F.col("file").alias("drawing_id"), F.col("cells").alias("header"))
 
 
-def lenient_csv(spark: SparkSession, path: str) -> tuple[list[str], DataFrame]:
-    """Header cells and (drawing_id, row_seq, cells) of one or more hand-written CSV files with a common header; drawing_id is the file's path."""
-    import pandas as pd
-
-    def run(batches):
-        for pdf in batches:
-            for f in pdf.itertuples():
-                rows = cells_of(f.value)
-                yield pd.DataFrame({"drawing_id": [f.drawing_id] * len(rows), "row_seq": range(-1, len(rows) - 1), "cells": rows})
-
-    rows = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("drawing_id"), "value").mapInPandas(run, "drawing_id string, row_seq long, cells array<string>")
-    head = rows.filter("row_seq = -1").limit(1).collect()
-    return (list(head[0]["cells"]) if head else []), rows.filter("row_seq >= 0")
+def by_header(name: str):
+    """The row's trimmed cell under a normal header name; of equal names the last counts; empty where the file lacks it."""
+    normal = F.transform("header", lambda h: F.regexp_replace(F.lower(S.trimmed(h)), r"[\s_-]+", ""))
+    back = F.array_position(F.reverse(normal), name)
+    return F.when(back > 0, S.trimmed(F.coalesce(F.get("cells", (F.size("header") - back).cast("int")), F.lit("")))).otherwise("")
 
 
-def by_header(header: list[str], rows: DataFrame) -> dict[str, object]:
-    """Trimmed columns by normal header name; of equal names the last wins, nameless ones go."""
-    return {normal_header(h): S.trimmed(F.coalesce(F.get("cells", F.lit(i)), F.lit(""))) for i, h in enumerate(header) if normal_header(h)}
+def _has(aliases: list[str]):
+    normal = F.transform("header", lambda h: F.regexp_replace(F.lower(S.trimmed(h)), r"[\s_-]+", ""))
+    return F.arrays_overlap(normal, F.array(*[F.lit(a) for a in aliases]))
 
 
-def _picked(columns: dict, aliases: dict[str, list[str]]):
-    return {field: S.first_filled([columns[a] for a in names if a in columns]) for field, names in aliases.items()}
+def _picked(aliases: dict[str, list[str]]):
+    return {field: S.first_filled([by_header(a) for a in names]) for field, names in aliases.items()}
 
 
 def seed_list(spark: SparkSession, path: str) -> DataFrame:
-    """All data rows of a reviewed tag list; see operators.merge.seed_distinct.  No tag column: an error that says so."""
-    header, rows = lenient_csv(spark, path)
-    columns = by_header(header, rows)
-    if not any(a in columns for a in dims.SEED_ALIASES["tag"]):
-        raise ValueError('No "Tag" column found: a header row with at least a Tag column is expected.')
-    picked = _picked(columns, dims.SEED_ALIASES)
-    return rows.select("drawing_id", "row_seq", *[(S.review_state(v) if k == "state" else v).alias(k) for k, v in picked.items()])
+    """All data rows of reviewed tag lists; see operators.merge.seed_distinct.  A file without a tag column: an error that says so."""
+    rows = tables.stored(csvs.rows_of(spark, path).select(F.col("file").alias("drawing_id"), "row_seq", "cells"), "seed")
+    heads = tables.stored(rows.filter("row_seq = -1").select("drawing_id", F.col("cells").alias("header")), "heads")
+    bare = heads.filter(~_has(dims.SEED_ALIASES["tag"])).first()
+    if bare or not heads.first():
+        raise ValueError(f'No "Tag" column found{f" in {bare[0]}" if bare else ""}: a header row with at least a Tag column is expected.')
+    data = rows.filter("row_seq >= 0").join(csvs.few(heads), "drawing_id")
+    return data.select("drawing_id", "row_seq", *[(S.review_state(v) if k == "state" else v).alias(k) for k, v in _picked(dims.SEED_ALIASES).items()])
 
 
 def line_list(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of a CSV with a line-number column, or of a plain list by lines or commas, of which repeats go."""
-    header, rows = lenient_csv(spark, path)
-    columns = by_header(header, rows)
-    if any(a in columns for a in dims.LINE_ALIASES["line_number"]):
-        picked = _picked(columns, dims.LINE_ALIASES)
-        given = rows.select("drawing_id", "row_seq", *[v.alias(f"_{k}" if k != "line_number" else k) for k, v in picked.items()]).filter("line_number <> ''")
-        base = lines.from_numbers(given)
-        return base.select("drawing_id", "row_seq", "line_number", *[(F.when(F.col(f"_{k}") != "", F.col(f"_{k}")).otherwise(F.col(k)) if k in ("size", "service", "spec_code") else F.col(f"_{k}")).alias(k) for k in dims.LINE_ALIASES if k != "line_number"])
-    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("drawing_id"), F.posexplode(F.split("value", "[\\n,]")).alias("row_seq", "line_number"))
-    found = text.withColumn("line_number", S.trimmed(F.col("line_number"))).filter("line_number <> ''").groupBy("drawing_id", "line_number").agg(F.min("row_seq").cast("long").alias("row_seq"))
-    return lines.from_numbers(found).select("drawing_id", "row_seq", *dims.LINE_ALIASES)
+    """Lines of CSV files with a line-number column, and of plain lists by lines or commas, of which repeats go; each file is one or the other."""
+    rows = tables.stored(csvs.rows_of(spark, path).select(F.col("file").alias("drawing_id"), "row_seq", "cells"), "lines")
+    heads = tables.stored(rows.filter("row_seq = -1").select("drawing_id", F.col("cells").alias("header")), "heads")
+    tabled = heads.filter(_has(dims.LINE_ALIASES["line_number"]))
+    given = rows.filter("row_seq >= 0").join(csvs.few(tabled), "drawing_id")
+    given = given.select("drawing_id", "row_seq", *[v.alias(f"_{k}" if k != "line_number" else k) for k, v in _picked(dims.LINE_ALIASES).items()]).filter("line_number <> ''")
+    base = lines.from_numbers(given)
+    named = base.select("drawing_id", "row_seq", "line_number", *[(F.when(F.col(f"_{k}") != "", F.col(f"_{k}")).otherwise(F.col(k)) if k in ("size", "service", "spec_code") else F.col(f"_{k}")).alias(k) for k in dims.LINE_ALIASES if k != "line_number"])
+    plain = csvs.lines_of(spark, path).join(csvs.few(tabled.select(F.col("drawing_id").alias("file"))), "file", "left_anti")
+    parts = plain.select(F.col("file").alias("drawing_id"), "start", F.monotonically_increasing_id().alias("_i"), "line").select("drawing_id", "start", "_i", F.posexplode(F.split("line", ",")).alias("_k", "line_number"))
+    found = parts.withColumn("line_number", S.trimmed(F.col("line_number"))).filter("line_number <> ''").groupBy("drawing_id", "line_number").agg(F.min(F.struct("start", "_i", "_k")).alias("first"))
+    seen = found.withColumn("row_seq", F.row_number().over(Window.partitionBy("drawing_id").orderBy("first")).cast("long") - 1).drop("first")
+    return named.unionByName(lines.from_numbers(seen).select("drawing_id", "row_seq", *dims.LINE_ALIASES))
