@@ -11,9 +11,14 @@ mean of embeddings times weights equals the mean of per-bucket scores: only that
 (buckets x languages) is broadcast.  Its values are multiples of 2**-14, so sums are exact
 and a text of any length scores the same in pieces as in one.
 
-A tenth of the sample, apart from training, fits the temperature of the softmax, so that
-scores are probabilities, and the rejection threshold: the largest value up to 0.5 under
-which at most ``reject_rate`` of those rows fall.
+A tenth of the sample, apart from training, calibrates both outputs.  The temperature of the softmax makes scores
+probabilities of being right among the learned languages.  Rejection has a measure of its own, since a text of none of them
+may look clearly more like one than the others: the table's last column is the logarithm of each bucket's share in
+training, and a text is as strange as the mean of that column over its subwords lies under the mean of known texts, in
+standard deviations for a text of its length.  The limit is set between known texts (those of the tenth) and unknown
+ones: texts of each language against a table that never saw it, and texts whose letters are shuffled.  It lies midway
+between the ``reject_rate`` quantile of known and the ``accept_rate`` quantile of unknown texts; where these overlap, at
+the former, so that clean texts stay.
 
 Null texts and texts without a letter are ``und`` with score 0 and rejected; so is all
 text if no labelled row exists.  Ids are integers; a null id keeps its row and is one of
@@ -35,10 +40,13 @@ from . import common as c
 _LETTER = re.compile(r"[^\W\d_]")
 _FOLD = c.LOWER.copy()
 _FOLD[[b for b in range(128) if not chr(b).isalpha()]] = 0x20
+_FOLD[0x80:0x9F] += 0x20  # second bytes of capitals with accents; that other letters become alike costs little
 #: a text is counted in pieces of so many bytes, so that long ones need no more memory: each subword in
 #: the piece where it starts, for which a piece also sees the three bytes after it
 PIECE = 1 << 18
 _GRAIN = 1 << 14
+#: more subwords than this make no mean surer, for long texts repeat their words
+REPEATS = 150
 
 
 @dataclass(frozen=True)
@@ -52,16 +60,19 @@ class Settings:
     epochs: int = 4
     rate: float = 4.0
     reject_rate: float = 0.0005
+    accept_rate: float = 0.02
+    unknown: int = 20  # languages left out, one at a time, and hundreds of texts that are shuffled
     seed: int = 11
 
 
 @dataclass
 class Model:
     names: list[str]
-    table: np.ndarray  # buckets x languages
+    table: np.ndarray  # buckets x languages, and a last column of familiarity
     bias: np.ndarray
     temperature: float
-    threshold: float
+    usual: tuple[float, float, float]  # of familiarity: mean, variance between texts and within one
+    limit: float  # strangeness up to which a text is accepted
 
 
 def subwords(seg: np.ndarray, bounds: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -120,6 +131,64 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
+def _familiar(data: list, buckets: int) -> np.ndarray:
+    """The logarithm of each bucket's mean share in the texts."""
+    share = np.zeros(buckets)
+    for ids, part, *_ in data:
+        share[ids] += part
+    return np.round(np.log(share / max(1, len(data)) + 1e-6) * _GRAIN) / _GRAIN
+
+
+def _usual(data: list, column: np.ndarray) -> tuple[float, float, float]:
+    u = np.array([part @ column[ids] for ids, part, *_ in data])
+    inner = np.array([part @ column[ids] ** 2 for ids, part, *_ in data]) - u * u
+    n = np.array([count for *_, count in data])
+    within = float(np.maximum(inner, 0).mean())
+    return float(u.mean()), float(max(1e-4, u.var() - (within / np.minimum(n, REPEATS)).mean())), within
+
+
+def strangeness(familiar, n, usual: tuple[float, float, float]):
+    """How far sums of familiarity over n subwords lie under those of known texts, in standard deviations."""
+    mean, between, within = usual
+    n = np.maximum(n, 1)
+    return (mean - familiar / n) / np.sqrt(between + within / np.minimum(n, REPEATS))
+
+
+def _strange(data: list, column: np.ndarray, usual) -> np.ndarray:
+    return np.array([float(strangeness(part @ column[ids] * count, count, usual)) for ids, part, _, count in data])
+
+
+def _counted(text: bytes, y: int, buckets: int):
+    seg = np.frombuffer(text, np.uint8)
+    keys, _ = subwords(seg, np.array([0, len(seg)]), buckets)
+    if not len(keys):
+        return None
+    ids, n = np.unique(keys, return_counts=True)
+    return ids, (n / n.sum()).astype(np.float32), y, int(n.sum())
+
+
+def _shuffled(text: bytes, rng) -> bytes:
+    """The text with its letters in another order, the gaps where they were."""
+    seg = np.frombuffer(text, np.uint8).copy()
+    letters = np.flatnonzero(_FOLD[seg] != 0x20)
+    seg[letters] = seg[rng.permutation(letters)]
+    return seg.tobytes()
+
+
+def _rejection(fit: list, valid: list, texts: list[bytes], column: np.ndarray, s: Settings, rng) -> tuple[tuple[float, float, float], float]:
+    """The usual familiarity, and the limit of strangeness."""
+    usual = _usual(valid, column)
+    known = float(np.quantile(_strange(valid, column, usual), 1 - s.reject_rate))
+    unknown = [_strange([x for t in texts[: 100 * s.unknown] if (x := _counted(_shuffled(t, rng), 0, s.buckets))], column, usual)]
+    for y in sorted({d[2] for d in valid})[: s.unknown]:
+        rest, others, own = [d for d in fit if d[2] != y], [d for d in valid if d[2] != y], [d for d in [*valid, *fit] if d[2] == y][:200]
+        if rest and others:
+            blind = _familiar(rest, s.buckets)
+            unknown.append(_strange(own, blind, _usual(others, blind)))
+    strange = float(np.quantile(np.concatenate(unknown), s.accept_rate)) if sum(map(len, unknown)) else known
+    return usual, max(known, (known + strange) / 2)
+
+
 def train(rows: list[tuple[bytes, str]], s: Settings = Settings()) -> Model | None:
     """rows in any order; None if there are none."""
     if not rows:
@@ -127,13 +196,12 @@ def train(rows: list[tuple[bytes, str]], s: Settings = Settings()) -> Model | No
     names = sorted({lang for _, lang in rows})
     of = {n: i for i, n in enumerate(names)}
     rng = np.random.default_rng(s.seed)
-    data = []
+    data, texts = [], []
     for text, lang in rows:
-        seg = np.frombuffer(text, np.uint8)
-        keys, _ = subwords(seg, np.array([0, len(seg)]), s.buckets)
-        if len(keys):
-            ids, n = np.unique(keys, return_counts=True)
-            data.append((ids, (n / n.sum()).astype(np.float32), of[lang]))
+        found = _counted(text, of[lang], s.buckets)
+        if found:
+            data.append(found)
+            texts.append(text)
     order = rng.permutation(len(data))
     n_valid = max(1, len(data) // 10) if len(data) > 20 else 0
     valid, fit = order[:n_valid], order[n_valid:]
@@ -142,7 +210,7 @@ def train(rows: list[tuple[bytes, str]], s: Settings = Settings()) -> Model | No
     step, steps = 0, max(1, s.epochs * len(fit))
     for _ in range(s.epochs):
         for i in rng.permutation(fit):
-            ids, share, y = data[i]
+            ids, share, y, _ = data[i]
             rate = s.rate * (1 - step / steps)
             step += 1
             x = share @ e[ids]
@@ -153,23 +221,33 @@ def train(rows: list[tuple[bytes, str]], s: Settings = Settings()) -> Model | No
             bias -= rate * 0.01 * g
             e[ids] -= rate * np.outer(share, back)
     table = np.round(e @ w * _GRAIN) / _GRAIN
-    temperature, threshold = 1.0, 0.0
+    column = _familiar([data[i] for i in fit], s.buckets)
+    temperature, usual, limit = 1.0, (0.0, 1.0, 0.0), float("inf")
     if n_valid:
-        logits = np.array([share @ table[ids] + bias for ids, share, _ in (data[i] for i in valid)])
+        logits = np.array([share @ table[ids] + bias for ids, share, *_ in (data[i] for i in valid)])
         y = np.array([data[i][2] for i in valid])
-        temperature = min(np.geomspace(0.1, 10, 41), key=lambda t: float(-np.log(np.maximum(_softmax(logits / t)[np.arange(len(y)), y], 1e-12)).sum()))
-        threshold = min(0.5, float(np.quantile(_softmax(logits / temperature).max(axis=1), s.reject_rate)))
-    return Model(names, table.astype(np.float32), bias, float(temperature), threshold)
+        temperature = _fitted(logits, y)
+        usual, limit = _rejection([data[i] for i in fit], [data[i] for i in valid], [texts[i] for i in valid], column, s, rng)
+    return Model(names, np.concatenate([table, column[:, None]], axis=1).astype(np.float32), bias, float(temperature), usual, limit)
+
+
+def _fitted(logits: np.ndarray, y: np.ndarray) -> float:
+    """The temperature of the least loss; smoothing by half a wrong answer keeps it finite where all answers are right."""
+    soft = 0.5 / (len(y) + 1)
+    hot = np.eye(logits.shape[1])[y] * (1 - soft) + soft / logits.shape[1]
+    return float(min(np.geomspace(1e-4, 100, 241), key=lambda t: float(-(hot * np.log(np.maximum(_softmax(logits / t), 1e-300))).sum())))
 
 
-def predict(offsets: np.ndarray, data: np.ndarray, model: Model) -> tuple[list[str], np.ndarray]:
-    names, scores = [], np.zeros(len(offsets) - 1)
+def predict(offsets: np.ndarray, data: np.ndarray, model: Model) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Languages, scores, and whether each text is accepted as one of the learned languages."""
+    names, scores, ok = [], np.zeros(len(offsets) - 1), np.zeros(len(offsets) - 1, bool)
     for lo, hi, sums, n in _totals(offsets, data, model.table):
-        p = _softmax((sums / np.maximum(n, 1)[:, None] + model.bias) / model.temperature)
+        p = _softmax((sums[:, :-1] / np.maximum(n, 1)[:, None] + model.bias) / model.temperature)
         best = p.argmax(axis=1)
         scores[lo:hi] = p[np.arange(hi - lo), best]
+        ok[lo:hi] = strangeness(sums[:, -1], n, model.usual) <= model.limit
         names += [model.names[i] for i in best]
-    return names, scores
+    return names, scores, ok
 
 
 def sample(docs: DataFrame, s: Settings = Settings(), text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> list[tuple[bytes, str]]:
@@ -193,11 +271,11 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", id_co
         schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())])
         for b in batches:
             offsets, data = c.utf8(b.column(1))
-            names, scores = predict(offsets, data, m) if m else (["und"] * b.num_rows, np.zeros(b.num_rows))
+            names, scores, ok = predict(offsets, data, m) if m else (["und"] * b.num_rows, np.zeros(b.num_rows), np.zeros(b.num_rows, bool))
             for i in range(b.num_rows):
                 if not has_letter(data, int(offsets[i]), int(offsets[i + 1])):
-                    names[i], scores[i] = "und", 0.0
-            yield c.batch(schema, b.column(0), pa.array(names), scores, np.array([n == "und" or s < m.threshold for n, s in zip(names, scores)], bool))
+                    names[i], scores[i], ok[i] = "und", 0.0, False
+            yield c.batch(schema, b.column(0), pa.array(names), scores, ~ok)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(c.tidy(run), "doc_id long, lang_pred string, score double, rejected boolean")
 
@@ -212,7 +290,7 @@ def accepted(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
             offsets, data = c.utf8(b.column(place))
             keep = np.array([has_letter(data, int(offsets[i]), int(offsets[i + 1])) for i in range(b.num_rows)], bool)
             if m:
-                keep &= predict(offsets, data, m)[1] >= m.threshold
+                keep &= predict(offsets, data, m)[2]
             yield b.filter(pa.array(keep))
 
     return docs.mapInArrow(c.tidy(run), docs.schema)

@@ -189,8 +189,8 @@ def small_model():
 def brute_language(text, model):
     """Mean of bucket scores, byte by byte."""
     raw = text.encode().lower() if text.isascii() else bytes(b + 32 if 65 <= b <= 90 else b for b in text.encode())
-    p = b" " + bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in raw) + b" "
-    total, n, buckets = np.zeros(len(model.names)), 0, len(model.table)
+    p = b" " + bytes(b + 32 if 128 <= b < 159 else b if b >= 128 or chr(b).isalpha() else 32 for b in raw) + b" "
+    total, n, buckets = np.zeros(len(model.names) + 1), 0, len(model.table)
     for k in (2, 3, 4):
         for i in range(len(p) - k + 1):
             g = p[i : i + k]
@@ -203,19 +203,48 @@ def brute_language(text, model):
             h ^= h >> 15
             total += model.table[h % buckets]
             n += 1
-    x = (total / max(n, 1) + model.bias) / model.temperature
+    x = (total[:-1] / max(n, 1) + model.bias) / model.temperature
     e = np.exp(x - x.max())
-    return model.names[int(x.argmax())], float((e / e.sum()).max())
+    mean, between, within = model.usual
+    strange = (mean - total[-1] / max(n, 1)) / np.sqrt(between + within / min(max(n, 1), 150))
+    return model.names[int(x.argmax())], float((e / e.sum()).max()), bool(strange <= model.limit)
 
 
 def test_language_scores_against_brute_force():
     model = small_model()
-    texts = ["the and of", "Der UND die", "", "x", "  a1b 22 the\u00e9 ", "of\tder"]
+    texts = ["the and of", "Der UND die", "", "x", "  a1b 22 the\u00e9 ", "of\tder", "\u00c9T\u00c9 qqq", "the and of " * 80]
     offsets = np.cumsum([0, *[len(t.encode()) for t in texts]])
-    names, scores = language.predict(offsets, np.frombuffer("".join(texts).encode(), np.uint8), model)
-    for t, name, score in zip(texts, names, scores):
+    names, scores, ok = language.predict(offsets, np.frombuffer("".join(texts).encode(), np.uint8), model)
+    for t, name, score, kept in zip(texts, names, scores, ok):
         want = brute_language(t, model)
-        assert name == want[0] and abs(score - want[1]) < 1e-9, t
+        assert name == want[0] and abs(score - want[1]) < 1e-6 and kept == want[2], t
+
+
+def tongue(rng, syllables):
+    words = ["".join(rng.choice(syllables) for _ in range(rng.randint(1, 4))) for _ in range(300)]
+    return lambda n: " ".join(rng.choice(words) for _ in range(n))
+
+
+def test_rejection_of_other_languages_and_shuffled_letters(spark):
+    """Each kept row is one that the model accepts; known texts stay, of every length; a language that training never saw goes."""
+    rng = random.Random(12)
+    known = {"a": tongue(rng, ["the", "on", "er", "ti", "ha", "st"]), "b": tongue(rng, ["sch", "und", "ei", "er", "\u00fc", "ge"]), "c": tongue(rng, ["que", "os", "ci\u00f3n", "ar", "la", "do"])}
+    other = tongue(rng, ["kk", "aa", "jo", "ye", "mpi", "vu"])
+    rows = [(t(rng.randint(5, 200)).encode(), name) for name, t in known.items() for _ in range(300)]
+    model = language.train(rows)
+    assert 1e-4 < model.temperature < 100 and 0 < model.limit < 1e6
+    mine = [t(rng.choice([8, 40, 400])) for t in known.values() for _ in range(100)]
+    foreign = [other(60) for _ in range(100)] + ["\u0441\u044a\u0435\u0448\u044c \u0435\u0449\u0451 " * 9, "bcdfghjklm npqrstvwxz" * 9]
+    shuffled = ["".join(rng.sample(t, len(t))) for t in mine[2:200:3] if len(t) > 200]
+    texts = [*mine, *foreign, *shuffled, None, "", "12 34"]
+    docs = make_docs(spark, [(i, t, None, None) for i, t in enumerate(texts)])
+    kept = {r["doc_id"] for r in language.accepted(docs, model).collect()}
+    assert kept == {i for i, t in enumerate(texts) if re.search("[^\\W\\d_]", t or "") and brute_language(t, model)[2]}
+    assert {r["doc_id"] for r in language.identify(docs, model).filter("NOT rejected").collect()} == kept
+    n = len(mine)
+    assert sum(i in kept for i in range(n)) >= 0.99 * n
+    assert sum(n <= i < n + len(foreign) for i in kept) <= 0.05 * len(foreign)
+    assert sum(i >= n + len(foreign) for i in kept) <= 0.2 * len(shuffled)
 
 
 @pytest.mark.parametrize("piece", [7, 64, 1000])
