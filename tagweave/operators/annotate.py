@@ -17,8 +17,9 @@ LINE = 2
 
 
 def _png(pixels: np.ndarray) -> bytes:
-    """An 8-bit PNG of (height, width, 3 or 4) pixels."""
+    """An 8-bit PNG of (height, width, 3 or 4) pixels, blue first."""
     height, width, channels = pixels.shape
+    pixels = pixels[:, :, [2, 1, 0, 3][:channels]]
     rows = np.zeros((height, width * channels + 1), np.uint8)  # each row follows its filter: none
     rows[:, 1:] = pixels.reshape(height, -1)
 
@@ -32,7 +33,7 @@ def boxed(pixels: np.ndarray, x0: float, y0: float, x1: float, y1: float, colour
     """Draws a box's edges, LINE pixels wide with their middle on the box, as far as they are on the page."""
     height, width = pixels.shape[:2]
     half = LINE / 2
-    paint = np.frombuffer(bytes.fromhex(colour.lstrip("#")), np.uint8)
+    paint = np.frombuffer(bytes.fromhex(colour.lstrip("#")), np.uint8)[::-1]
 
     def fill(left, top, right, bottom):
         a, b = max(0, int(np.floor(left + 0.5))), max(0, int(np.floor(top + 0.5)))

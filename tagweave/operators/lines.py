@@ -36,6 +36,12 @@ def added_line(lines: DataFrame, number: str, line_id: str) -> DataFrame:
     return lines.unionByName(new.select(*lines.columns))
 
 
+def added_note(notes: DataFrame, note_id: str) -> DataFrame:
+    """The notes (id, flag, text) and a blank one after them."""
+    row = {c: F.lit(note_id if c == "id" else "").cast(notes.schema[c].dataType) for c in notes.columns}
+    return notes.unionByName(notes.sparkSession.range(1).select(*[v.alias(k) for k, v in row.items()]))
+
+
 def label(meta: str = "meta"):
     """What a drawing is called in lists."""
     number, file = F.trim(F.col(f"{meta}.drawing_number")), F.col(f"{meta}.source_file_name")

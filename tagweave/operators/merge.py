@@ -19,6 +19,7 @@ class Merged:
     missing: DataFrame  # seed rows that the drawing lacks, which were added
     unmatched: DataFrame  # tags that the list lacks
     duplicates: DataFrame  # tags whose key another had before
+    counts: DataFrame  # (drawing_id, matched, added, missing, unmatched, duplicates) of each drawing that has any
 
 
 def seed_distinct(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -77,4 +78,9 @@ def merge(tags: DataFrame, seed: DataFrame, o: MergeOptions = MergeOptions()) ->
     lacking = missing(tags, seed)
     last = tags.groupBy("drawing_id").agg(F.max("tag_seq").alias("_last"))
     added = seed_tags(lacking, o).join(last, "drawing_id", "left").withColumn("tag_seq", F.col("tag_seq") + F.coalesce("_last", F.lit(0)) + 1).drop("_last")
-    return Merged(enriched(tags, seed, o).drop("matched").unionByName(added.select(*tags.columns)), lacking, unmatched(tags, seed), duplicates(tags))
+    taken = enriched(tags, seed, o)
+    alone, again = unmatched(tags, seed), duplicates(tags)
+    of = lambda df, name, keep=F.lit(True): df.select("drawing_id", F.lit(name).alias("what"), keep.cast("long").alias("one"))
+    every = of(taken, "matched", F.col("matched")).unionByName(of(lacking, "added")).unionByName(of(lacking, "missing")).unionByName(of(alone, "unmatched")).unionByName(of(again, "duplicates"))
+    counts = every.groupBy("drawing_id").agg(*[F.coalesce(F.sum(F.when(F.col("what") == w, F.col("one"))), F.lit(0)).alias(w) for w in ("matched", "added", "missing", "unmatched", "duplicates")])
+    return Merged(taken.drop("matched").unionByName(added.select(*tags.columns)), lacking, alone, again, counts)

@@ -2,14 +2,15 @@
 
 A page's raster and its circles meet in one task (cogroup by page); only words leave it.  A recogniser is given a
 raster and a mode: ``sparse`` for text scattered over a page, ``block`` for the few lines in a circle, of which only
-``dims.TAG_ALPHABET`` counts.  Words are (text, x0, y0, x1, y1, confidence) in the raster's own pixels.
+``dims.TAG_ALPHABET`` counts.  Words are (text, x0, y0, x1, y1, confidence) in the raster's own pixels.  Channels are in
+the order of Spark's image source: blue, green, red.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import dims, tables
@@ -106,7 +107,8 @@ def recognised(rasters: DataFrame, recogniser: WordRecognizer, settings: Setting
     if not settings.detect_bubbles:
         return words, None, None
     options = CircleOptions(min_radius=settings.bubble_min_radius * settings.ocr_scale, max_radius=settings.bubble_max_radius * settings.ocr_scale)
-    found = tables.stored(circles.detect(rasters, options), "circles")
+    found = circles.detect(rasters, options)  # numbered by page; a drawing has many
+    found = tables.stored(found.withColumn("bubble_id", F.row_number().over(Window.partitionBy("drawing_id").orderBy("page", "bubble_id")).cast("long") - 1), "circles")
     if renderer is not None and documents is not None:
         reads = rendered_reads(documents, found.withColumn("base_scale", F.lit(float(base_scale))), recogniser, renderer)
     else:

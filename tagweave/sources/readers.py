@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Protocol
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import dims, tables
@@ -19,19 +19,25 @@ class PageRenderer(Protocol):
 
     def pages(self, content: bytes, scale: float) -> Iterator[tuple[int, int, int, bytes]]: ...
 
-    def region(self, content: bytes, page: int, box: tuple[float, float, float, float], scale: float) -> bytes: ...
+    def region(self, content: bytes, page: int, box: tuple[float, float, float, float], scale: float) -> tuple[int, int, bytes]:
+        """(width, height, data) of the region (x, y, w, h), in the document's own units, drawn at a scale of its own."""
+        ...
 
 
 class WordRecognizer(Protocol):
-    """Reads words with boxes and confidences from a raster."""
+    """Reads words with boxes and confidences from a raster; mode: sparse text of a page, or the block of a circle."""
 
-    def words(self, width: int, height: int, data: bytes) -> Iterator[tuple[str, float, float, float, float, float]]: ...
+    def words(self, width: int, height: int, data: bytes, mode: str) -> Iterator[tuple[str, float, float, float, float, float]]: ...
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
-    """Accepted uploads with their kind; a PDF by its name, anything else is an image."""
+    """Accepted uploads with their kind: a PDF by its first bytes or its name, anything else is an image."""
     glob = "*.{" + ",".join(x for t in dims.UPLOAD_TYPES for x in (t, t.upper())) + "}"
-    return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).withColumn("kind", F.when(F.lower("path").endswith(".pdf"), "pdf").otherwise("image"))
+    return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).withColumn("kind", kind_of(F.col("path"), F.col("content")))
+
+
+def kind_of(path: Column, content: Column) -> Column:
+    return F.when(F.lower(path).endswith(".pdf") | (F.substring(content, 1, 5) == F.lit(b"%PDF-")), "pdf").otherwise("image")
 
 
 def images(spark: SparkSession, path: str) -> DataFrame:
