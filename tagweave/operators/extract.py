@@ -61,8 +61,13 @@ def best_match(text: Column, patterns: list[TagPattern], coverage: float) -> Col
     return F.array_max(F.array_compact(F.array(*found))) if found else F.lit(None).cast(_NO_MATCH)
 
 
+def _matched(df: DataFrame, text: Column, s: Settings) -> DataFrame:
+    """Rows whose text matches, with the match m: a generator, so that it is computed once, not in a filter and again in a projection."""
+    return df.select("*", F.explode(F.array_compact(F.array(best_match(text, usable(df.sparkSession, s.patterns), s.coverage)))).alias("m"))
+
+
 def word_matches(words: DataFrame, s: Settings = Settings()) -> DataFrame:
-    m = words.withColumn("m", best_match(F.col("text"), usable(words.sparkSession, s.patterns), s.coverage)).filter("m IS NOT NULL")
+    m = _matched(words, F.col("text"), s)
     order = F.struct(F.lit(0).alias("phase"), F.lit(0).cast("long").alias("bucket_seq"), F.col("word_seq").alias("top"), F.lit(0).alias("side"), F.lit(0).cast("long").alias("bottom"), F.lit(0).alias("form"))
     return m.select(*PAGE, *BOX, "confidence", "origin", order.alias("ordinal"), "m.text", "m.pattern_id", "m.pattern_name", "m.func", "m.loop", "m.suffix")
 
@@ -90,7 +95,7 @@ def stacked_pairs(words: DataFrame, s: Settings = Settings()) -> DataFrame:
 
 def pair_matches(pairs: DataFrame, s: Settings = Settings()) -> DataFrame:
     forms = F.explode(F.array(F.struct(F.lit(0).alias("form"), F.concat("top_text", F.lit("-"), "bottom_text").alias("text")), F.struct(F.lit(1).alias("form"), F.concat("top_text", "bottom_text").alias("text"))))
-    m = pairs.select("*", forms.alias("f")).withColumn("m", best_match(F.col("f.text"), usable(pairs.sparkSession, s.patterns), s.coverage)).filter("m IS NOT NULL")
+    m = _matched(pairs.select("*", forms.alias("f")), F.col("f.text"), s)
     order = F.struct(F.lit(1).alias("phase"), "bucket_seq", F.col("top_seq").alias("top"), "side", F.col("bottom_seq").alias("bottom"), F.col("f.form").alias("form"))
     return m.select(*PAGE, *BOX, "confidence", "origin", order.alias("ordinal"), "m.text", "m.pattern_id", "m.pattern_name", "m.func", "m.loop", "m.suffix")
 

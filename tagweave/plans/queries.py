@@ -74,7 +74,6 @@ def tags_extracted(words):
     return extract.extract(words).select("drawing_id", "tag_seq", "text", "function_code", "loop_number", "suffix", "page")
 
 
-@query(A.WORDS)
 def tags_reconciled(words):
     return extract_drawing(words)[0].select("drawing_id", "tag_seq", "text", "function_code", "loop_number", "suffix", "loop_group", "state", "notes")
 
@@ -167,6 +166,20 @@ def corrections(tags):
     return consensus.corrections(tags)
 
 
+_STEM = lambda x: f"CASE WHEN regexp_matches({x}, '^[0-9]*[A-Z]*$') THEN regexp_extract({x}, '^([0-9]*)', 1) ELSE {x} END"
+_LETTERS = lambda x: f"CASE WHEN regexp_matches({x}, '^[0-9]*[A-Z]*$') THEN regexp_extract({x}, '([A-Z]*)$', 1) ELSE '' END"
+query(A.WORDS, f"""WITH {_PAIRS}, {_KEPT},
+seen AS (SELECT drawing_id, row_number() OVER (PARTITION BY drawing_id ORDER BY page, c.y0, c.x0, c.o) AS tag_seq, page, c.text AS text, c.x0 AS x0, c.y0 AS y0, c.x1 AS x1, c.y1 AS y1, c.origin AS origin FROM kept),
+ext AS (SELECT *, 'tag-' || drawing_id || '-' || tag_seq AS id, regexp_extract(text, '^([A-Z]+)', 1) AS function_code, regexp_extract(text, '([0-9]+)', 1) AS loop_number, regexp_extract(text, '[0-9]([A-Z]*)$', 1) AS suffix, 'auto' AS source, 'uncertain' AS state FROM seen),
+fixes AS ({ORACLE_SQL["corrections"].replace(f"({_T})", "ext")}),
+by_tag AS (SELECT drawing_id, id, max(CASE WHEN field = 'loop' THEN before END) AS l0, max(CASE WHEN field = 'loop' THEN after END) AS l1, max(CASE WHEN field = 'loop' THEN kind END) AS lk, max(CASE WHEN field = 'loop' THEN support END) AS ls, max(CASE WHEN field = 'func' THEN before END) AS f0, max(CASE WHEN field = 'func' THEN after END) AS f1 FROM fixes GROUP BY drawing_id, id),
+new AS (SELECT ext.*, l0, l1, lk, ls, f0, f1, l1 IS NOT NULL OR f1 IS NOT NULL AS fixed, coalesce(f1, function_code) AS func, CASE WHEN l1 IS NOT NULL THEN {_STEM('l1')} ELSE loop_number END AS loop, CASE WHEN l1 IS NOT NULL THEN {_LETTERS('l1')} ELSE suffix END AS suf FROM ext LEFT JOIN by_tag USING (drawing_id, id))
+SELECT drawing_id, tag_seq, CASE WHEN fixed THEN func || '-' || loop || suf ELSE text END AS text, func AS function_code, loop AS loop_number, suf AS suffix, loop || suf AS loop_group, state,
+CASE WHEN fixed THEN concat_ws(' ', CASE WHEN lk = 'suffix-inferred' THEN format('Loop read as "{{}}". No bubble on this sheet read the suffix, but "{{}}" is a {{}}-bubble loop here and a trailing "{{}}" is a common misread of "{{}}". Check this one against the drawing.', l0, l0[:-2], ls, l0[-1:], l1[-1:])
+  WHEN l1 IS NOT NULL THEN format('Loop read as "{{}}"; corrected to "{{}}" ({{}} nearby bubbles on this loop). Verify against the drawing.', l0, l1, ls) END,
+  CASE WHEN f1 IS NOT NULL THEN format('Function code read as "{{}}"; "{{}}" is the only known code one character away.', f0, f1) END) ELSE '' END AS notes FROM new""")(tags_reconciled)
+
+
 @query(A.TAGS, f"WITH {_SUB} {_FIXES}")
 def function_code_fix(tags):
     return consensus.function_fixes(consensus.subjects(tags)).drop("support")
@@ -176,7 +189,10 @@ def function_code_fix(tags):
 def correction_kinds(tags):
     """Kinds between the tokens of each drawing."""
     t = consensus.token_support(consensus.subjects(tags)).select("sheet", "token")
-    return t.join(t.select("sheet", F.col("token").alias("to")), "sheet").withColumn("kind", S.correction_kind(F.col("token"), F.col("to"))).filter("kind IS NOT NULL").withColumnRenamed("sheet", "drawing_id")
+    t = tables.stored(t, "tokens")
+    key = lambda column, target: F.explode(S.edit_keys(F.col(column), target))
+    pairs = t.withColumn("key", key("token", False)).join(t.select("sheet", F.col("token").alias("to")).withColumn("key", key("to", True)), ["sheet", "key"]).drop("key").distinct()
+    return pairs.withColumn("kind", S.correction_kind(F.col("token"), F.col("to"))).filter("kind IS NOT NULL").withColumnRenamed("sheet", "drawing_id")
 
 
 def _seeded(f, oracle=None):
