@@ -13,6 +13,8 @@ the Jaccard similarity, is 4/5 or more.  Shingles are equal if their 64-bit hash
    counts over all documents: tasks hand on what two of their documents hold, so a shingle
    in one of ten thousand documents is found at any size.  The counts decide the cost, never
    the result.
+   The first shingle that two sets share comes before most of both: at places i of n and j of m, they share
+   min(n - i, m - j) at most, which must be 4/9 of n + m; a pair needs to be met at one such place only.
 4. Candidates are pruned by size and by parities: a set has 512 bits, each the parity of
    the shingles that hash to it.  Two sets differ in as many shingles at least as in
    bits, and linked sets differ in a ninth of both sizes' sum at most.  Sets over LARGE are
@@ -157,18 +159,20 @@ def _recurring(docs: DataFrame, text_col: str) -> np.ndarray:
             yield handed()
 
     counts = _texts(docs, text_col).mapInArrow(c.tidy(run), "tok long, n long").groupBy("tok").agg(F.sum("n").alias("n")).filter("n > 2")
-    found = counts.orderBy(F.desc("n"), "tok").limit(RECUR).collect()  # RECUR rows at most
-    return np.array([r["tok"] for r in reversed(found)], np.int64).view(np.uint64)
+    found = counts.orderBy(F.desc("n"), "tok").limit(RECUR).select("tok").toArrow()  # RECUR rows at most
+    return found.column("tok").to_numpy()[::-1].astype(np.int64).view(np.uint64)
 
 
 def _shared(docs: DataFrame, text_col: str) -> DataFrame:
-    """(tok, key): members of prefixes, of shingles that more than one class has in its prefix."""
+    """(tok, key, at, n): members of prefixes with their place and the set's size, of shingles that more than one class has in its prefix."""
     recurring = _recurring(docs, text_col)
     by_value = np.argsort(recurring)
     values = recurring[by_value]
 
+    schema = pa.schema([("tok", pa.int64()), ("key", pa.int64()), ("at", pa.int32()), ("n", pa.int32())])
+    kind = "tok long, key long, at int, n int"
+
     def prefixes(batches):
-        schema = pa.schema([("tok", pa.int64()), ("key", pa.int64())])
         sent: set[int] = set()
         for b in batches:
             for lo, hi, h, bounds in shingle_sets(*c.utf8(b.column(1))):
@@ -185,21 +189,23 @@ def _shared(docs: DataFrame, text_col: str) -> DataFrame:
                     at = np.minimum(np.searchsorted(values, h), len(values) - 1)
                     rank = np.where(values[at] == h, by_value[at] + 1, 0)
                 order = np.lexsort((h, rank, of))
-                stay = np.arange(len(h)) - start[of] < (sizes - (4 * sizes + 4) // 5 + 1)[of]
-                yield c.batch(schema, h[order][stay].view(np.int64), keys[of[stay]])
+                at = np.arange(len(h)) - start[of]
+                stay = at < (sizes - (4 * sizes + 4) // 5 + 1)[of]
+                yield c.batch(schema, h[order][stay].view(np.int64), keys[of[stay]], at[stay], sizes[of[stay]])
 
     def several(batches):
         """Rows sorted by tok and key: drops repeats, and shingles with one class."""
-        schema = pa.schema([("tok", pa.int64()), ("key", pa.int64())])
-        tok, key, more = np.zeros(0, np.int64), np.zeros(0, np.int64), False  # the row before; whether it went out already
+        held, more = [np.zeros(0, np.int64)] * 4, False  # the row before; whether it went out already
 
         for b in batches:
-            t, k = (np.concatenate([x, b.column(i).to_numpy(zero_copy_only=False)]) for i, x in enumerate((tok, key)))
+            cols = [np.concatenate([x, b.column(i).to_numpy(zero_copy_only=False)]) for i, x in enumerate(held)]
+            t, k = cols[:2]
             if not len(t):
                 continue
             new = np.ones(len(t), bool)
             new[1:] = (t[1:] != t[:-1]) | (k[1:] != k[:-1])
-            t, k = t[new], k[new]
+            cols = [x[new] for x in cols]
+            t = cols[0]
             same = t[1:] == t[:-1]
             out = np.zeros(len(t), bool)
             out[1:] |= same
@@ -207,18 +213,19 @@ def _shared(docs: DataFrame, text_col: str) -> DataFrame:
             last_out = bool(out[-1]) or (len(t) == 1 and more)
             if more:
                 out[0] = False
-            tok, key, more = t[-1:], k[-1:], last_out
-            yield c.batch(schema, t[out], k[out])
+            held, more = [x[-1:] for x in cols], last_out
+            yield c.batch(schema, *[x[out] for x in cols])
 
     # texts stay where they are; a task sends each of its sets once, so that copies send as many rows as there are tasks at most
-    rows = _texts(docs, text_col).mapInArrow(c.tidy(prefixes), "tok long, key long")
-    return c.stored(rows.repartition("tok").sortWithinPartitions("tok", "key").mapInArrow(c.tidy(several), "tok long, key long"), "shared")
+    rows = _texts(docs, text_col).mapInArrow(c.tidy(prefixes), kind)
+    return c.stored(rows.repartition("tok").sortWithinPartitions("tok", "key").mapInArrow(c.tidy(several), kind), "shared")
 
 
 def _apart(x: str, y: str) -> str:
     return "(" + " + ".join(f"bit_count({x}[{i}] ^ {y}[{i}])" for i in range(SIGNS // 64)) + ")"
 
 
+_FIRST = "9 * (na - ia) >= 4 * (na + nb) AND 9 * (nb - ib) >= 4 * (na + nb)"
 _MAY = f"5 * na >= 4 * nb AND 5 * nb >= 4 * na AND 9 * {_apart('sa', 'sb')} <= na + nb"
 
 
@@ -344,9 +351,9 @@ def _composed(docs: DataFrame, open_: DataFrame, classes: DataFrame, limit: int)
     side = lambda x: met.select(*on, "w", F.col("key").alias(x), F.col("n").alias("n" + x), F.col("light").alias("l" + x), F.expr(sure).alias("s" + x))
     may = side("a").join(side("b").drop("w"), on).filter("a < b AND NOT (sa AND sb) AND 9 * (size + least(la, lb)) >= 4 * (na + nb) AND 9 * size < 4 * (na + nb)").select("a", "b").distinct()
     loose = signed.filter("sig IS NULL").select("key", F.lit(True).alias("loose"))
-    every = open_.join(classes.select("key", "n", "signs"), "key").join(loose, "key", "left")
-    end = lambda x, df: df.select("tok", F.col("key").alias(x), F.col("n").alias("n" + x), F.col("signs").alias("s" + x), F.col("root").alias("r" + x), F.col("loose").alias("l" + x))
-    compared = end("a", every.filter("loose")).join(end("b", every), "tok").filter("ra <> rb AND (lb IS NULL OR a < b)").filter(_MAY).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    every = open_.join(classes.select("key", "signs"), "key").join(loose, "key", "left")
+    end = lambda x, df: df.select("tok", F.col("key").alias(x), F.col("n").alias("n" + x), F.col("at").alias("i" + x), F.col("signs").alias("s" + x), F.col("root").alias("r" + x), F.col("loose").alias("l" + x))
+    compared = end("a", every.filter("loose")).join(end("b", every), "tok").filter("ra <> rb AND (lb IS NULL OR a < b)").filter(_FIRST).filter(_MAY).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     apart = may.join(roots.toDF("a", "ra"), "a").join(roots.toDF("b", "rb"), "b").filter("ra <> rb").select("a", "b")
     return links, compared.union(_may(apart, classes).select("a", "b")).distinct()
 
@@ -367,7 +374,7 @@ def links(docs: DataFrame, classes: DataFrame, text_col: str = "text", hubs: int
     # (a, b): each class and a member of each of its shared shingles, chosen by hash; as many as a prefix at most
     hub = shared.groupBy("tok").agg(F.min_by("key", F.xxhash64("tok", "key")).alias("b"), F.count("*").alias("w"))
     total = shared.count()
-    near = _may(c.heavy_join(shared, hub, ["tok"], "w", total).select(F.col("key").alias("a"), "b").filter("a <> b").distinct(), classes)
+    near = _may(c.heavy_join(shared.select("tok", "key"), hub, ["tok"], "w", total).select(F.col("key").alias("a"), "b").filter("a <> b").distinct(), classes)
     near = near.groupBy("a").agg(F.collect_set(F.struct(F.expr(_apart("sa", "sb")).alias("far"), "b")).alias("x"))
     star = near.select("a", F.explode(F.slice(F.sort_array("x"), 1, hubs)).alias("x")).select("a", "x.b").union(_may(_alike(classes), classes).select("a", "b"))
     first = _verified(texts, c.stored(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), "star"), classes)
@@ -375,9 +382,9 @@ def links(docs: DataFrame, classes: DataFrame, text_col: str = "text", hubs: int
     rooted = c.stored(shared.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")), "rooted")
     mixed = c.stored(rooted.groupBy("tok").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("w")).filter("x <> y").select("tok", "w"), "mixed")
     open_ = c.stored(c.heavy_join(rooted, mixed, ["tok"], "w", total), "open")
-    few = open_.filter(F.col("w") <= hot).join(classes.select("key", "n", "signs"), "key")
-    side = lambda x: few.select("tok", F.col("key").alias(x), F.col("n").alias("n" + x), F.col("signs").alias("s" + x), F.col("root").alias("r" + x))
-    rest = side("a").join(side("b"), "tok").filter("ra < rb").filter(_MAY).select("a", "b").distinct()
+    few = open_.filter(F.col("w") <= hot).join(classes.select("key", "signs"), "key")
+    side = lambda x: few.select("tok", F.col("key").alias(x), F.col("n").alias("n" + x), F.col("at").alias("i" + x), F.col("signs").alias("s" + x), F.col("root").alias("r" + x))
+    rest = side("a").join(side("b"), "tok").filter("ra < rb").filter(_FIRST).filter(_MAY).select("a", "b").distinct()
     crowded = open_.filter(F.col("w") > hot)
     if not crowded.isEmpty():
         composed, loose = _composed(texts, crowded, classes, limit)
