@@ -19,7 +19,9 @@ from tagweave.llm import common, decontaminate, language, near_copies, packing,
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return language.accepted(docs, language.train(language.sample(docs)))
+    model = language.train(language.sample(docs))
+    common.rested()  # the sample's memory goes back
+    return language.accepted(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
