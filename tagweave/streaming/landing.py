@@ -19,17 +19,21 @@ from ..schema import WORDS, Settings
 
 #: a landed word also says how many pages its drawing has; a page without words is one row whose text is null
 LANDED = WORDS + ", pages int"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _HELD = WORDS + ", revision int, complete boolean"
 
 
 def _extracted(out: str, settings: Settings):
     def each(batch: DataFrame, number: int) -> None:
-        held = tables.stored(batch, "landed")
-        found, _ = extract_drawing(held.select(*[c.split(" ")[0] for c in WORDS.split(", ")]).filter("text IS NOT NULL"), settings=settings)
-        if "revision" in held.columns:
-            status = held.select("drawing_id", "revision", "complete").distinct()
-            found = status.join(found, "drawing_id", "left")  # a drawing without tags has a row as well
-        found.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        with tables.scope(batch.sparkSession):
+            held = tables.stored(batch, "landed")
+            if held.isEmpty():  # a batch that only moves timers on
+                return
+            found, _ = extract_drawing(held.select(*[c.split(" ")[0] for c in WORDS.split(", ")]).filter("text IS NOT NULL"), settings=settings)
+            if "revision" in held.columns:
+                status = held.select("drawing_id", "revision", "complete").distinct()
+                found = status.join(found, "drawing_id", "left")  # a drawing without tags has a row as well
+            found.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return each
 
@@ -100,7 +104,7 @@ def held_drawings(words: DataFrame, wait_ms: int) -> DataFrame:
 
 def watch_pages(spark: SparkSession, landing: str, out: str, checkpoint: str, settings: Settings = Settings(), wait_ms: int = 600_000, once: bool = False) -> StreamingQuery:
     """Parquet files of words (LANDED), in any order of pages, become tags (drawing_id, revision, complete, ...) under ``out``, by batch: a repeated batch replaces its own."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     landed = spark.readStream.schema(LANDED).parquet(landing)
     names = [c.split(" ")[0] for c in LANDED.split(", ")]
     writer = held_drawings(landed.select(*names), wait_ms).writeStream.option("checkpointLocation", checkpoint).foreachBatch(_extracted(out, settings))
