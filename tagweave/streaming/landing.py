@@ -105,6 +105,8 @@ def held_drawings(words: DataFrame, wait_ms: int) -> DataFrame:
 def watch_pages(spark: SparkSession, landing: str, out: str, checkpoint: str, settings: Settings = Settings(), wait_ms: int = 600_000, once: bool = False) -> StreamingQuery:
     """Parquet files of words (LANDED), in any order of pages, become tags (drawing_id, revision, complete, ...) under ``out``, by batch: a repeated batch replaces its own."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    # timers ask for batches without data for ever; a run that ends leaves them to the next batch with data
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", str(not once).lower())
     landed = spark.readStream.schema(LANDED).parquet(landing)
     names = [c.split(" ")[0] for c in LANDED.split(", ")]
     writer = held_drawings(landed.select(*names), wait_ms).writeStream.option("checkpointLocation", checkpoint).foreachBatch(_extracted(out, settings))

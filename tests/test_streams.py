@@ -14,6 +14,7 @@ def test_pages_in_any_order_and_batches(spark, tmp_path):
     """The stateful operator alone: what it lets go, and when."""
     paths = [str(tmp_path / x) for x in ("landing", "out", "checkpoint")]
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", landing.ROCKS)
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
 
     def run(number, *rows, wait_ms=3_600_000):
         spark.createDataFrame([r for part in rows for r in part], landing.LANDED).coalesce(1).write.parquet(f"{paths[0]}/{number}")
