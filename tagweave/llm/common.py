@@ -105,13 +105,16 @@ def free_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def heavy_join(left: DataFrame, right: DataFrame, on: list[str], weight: str, total: int, how: str = "inner") -> DataFrame:
+def heavy_join(left: DataFrame, right: DataFrame, on: list[str], weight: str, total: int, how: str = "inner", few: int = 0) -> DataFrame:
     """Joins left to right, whose keys are unique and whose ``weight`` is the number of left rows of the key.
 
     Keys with more than total/HEAVY_KEYS rows, HEAVY_KEYS at most, are joined by
     broadcast, so that their rows stay where they are; all other keys by shuffle.
-    ``left`` is read twice and should be a stored table.  Key columns aren't null.
+    ``left`` is read twice and should be a stored table.  Key columns aren't null.  Where total is ``few`` at most, even
+    all rows fit a task, and the join is a plain one.
     """
+    if total <= few:
+        return left.join(right, on, how)
     heavy = F.col(weight) * F.lit(HEAVY_KEYS) > F.lit(int(total))
     few, many = F.broadcast(right.filter(heavy)), right.filter(~heavy)
     return left.join(few, on, "inner").unionByName(left.join(F.broadcast(right.filter(heavy).select(*on)), on, "left_anti").join(many, on, how))

@@ -60,6 +60,8 @@ HOT, CHOICES = 64, 512
 HEAVY = 32
 #: the most keys that are broadcast, by their count: 32 MB
 FEW = 1_000_000
+#: rows (tok, key) that fit a task, should all of them have one key
+TASK_ROWS = 500_000
 _LAST = (1 << 63) - 1
 _KEY = np.uint64(0xA0761D6478BD642F)
 
@@ -301,7 +303,7 @@ def _signatures(sets: DataFrame, limit: int) -> DataFrame:
     """
     each = c.stored(sets.select("key", F.explode("toks").alias("tok")), "open-shingles")
     units = each.groupBy("tok").agg(F.count("*").alias("w"), F.expr("xxhash64(count(*), bit_xor(xxhash64(key)), bit_xor(xxhash64(key, 1)))").alias("unit"))
-    weighed = c.heavy_join(each, units, ["tok"], "w", each.count()).groupBy("key", "unit").agg(F.count("*").alias("n"), F.first("w").alias("held_by"))
+    weighed = c.heavy_join(each, units, ["tok"], "w", each.count(), few=TASK_ROWS).groupBy("key", "unit").agg(F.count("*").alias("n"), F.first("w").alias("held_by"))
     listed = weighed.groupBy("key").agg(F.collect_list(F.struct("unit", "n", "held_by")).alias("units"))
 
     def run(batches):
@@ -374,14 +376,14 @@ def links(docs: DataFrame, classes: DataFrame, text_col: str = "text", hubs: int
     # (a, b): each class and a member of each of its shared shingles, chosen by hash; as many as a prefix at most
     hub = shared.groupBy("tok").agg(F.min_by("key", F.xxhash64("tok", "key")).alias("b"), F.count("*").alias("w"))
     total = shared.count()
-    near = _may(c.heavy_join(shared.select("tok", "key"), hub, ["tok"], "w", total).select(F.col("key").alias("a"), "b").filter("a <> b").distinct(), classes)
+    near = _may(c.heavy_join(shared.select("tok", "key"), hub, ["tok"], "w", total, few=TASK_ROWS).select(F.col("key").alias("a"), "b").filter("a <> b").distinct(), classes)
     near = near.groupBy("a").agg(F.collect_set(F.struct(F.expr(_apart("sa", "sb")).alias("far"), "b")).alias("x"))
     star = near.select("a", F.explode(F.slice(F.sort_array("x"), 1, hubs)).alias("x")).select("a", "x.b").union(_may(_alike(classes), classes).select("a", "b"))
     first = _verified(texts, c.stored(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), "star"), classes)
     roots = c.stored(components(first), "roots")
     rooted = c.stored(shared.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")), "rooted")
     mixed = c.stored(rooted.groupBy("tok").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("w")).filter("x <> y").select("tok", "w"), "mixed")
-    open_ = c.stored(c.heavy_join(rooted, mixed, ["tok"], "w", total), "open")
+    open_ = c.stored(c.heavy_join(rooted, mixed, ["tok"], "w", total, few=TASK_ROWS), "open")
     few = open_.filter(F.col("w") <= hot).join(classes.select("key", "signs"), "key")
     side = lambda x: few.select("tok", F.col("key").alias(x), F.col("n").alias("n" + x), F.col("at").alias("i" + x), F.col("signs").alias("s" + x), F.col("root").alias("r" + x))
     rest = side("a").join(side("b"), "tok").filter("ra < rb").filter(_FIRST).filter(_MAY).select("a", "b").distinct()
