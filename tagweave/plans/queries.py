@@ -191,7 +191,8 @@ def correction_kinds(tags):
     t = consensus.token_support(consensus.subjects(tags)).select("sheet", "token")
     t = tables.stored(t, "tokens")
     key = lambda column, target: F.explode(S.edit_keys(F.col(column), target))
-    pairs = t.withColumn("key", key("token", False)).join(t.select("sheet", F.col("token").alias("to")).withColumn("key", key("to", True)), ["sheet", "key"]).drop("key").distinct()
+    targets = t.select("sheet", F.col("token").alias("to")).withColumn("key", key("to", True))
+    pairs = t.withColumn("key", key("token", False)).join(tables.shuffled(targets), ["sheet", "key"]).drop("key").distinct()
     return pairs.withColumn("kind", S.correction_kind(F.col("token"), F.col("to"))).filter("kind IS NOT NULL").withColumnRenamed("sheet", "drawing_id")
 
 

@@ -42,6 +42,11 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the input, so that it is never broadcast: Spark judges it by its file, and rows take many times that in memory, exploded ones more."""
+    return df.hint("merge")
+
+
 def release(spark: SparkSession, kept: int = 0) -> None:
     """Deletes what this process has written after the first ``kept`` tables; frames that read it are void."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
