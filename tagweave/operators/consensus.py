@@ -38,7 +38,7 @@ def modal_length(sub: DataFrame) -> DataFrame:
     stems = stem_support(sub).select("sheet", "stem")
     shorter = stems.withColumnRenamed("stem", "base")
     own = stems.withColumn("base", F.when(F.length("stem") > 1, F.expr("substring(stem, 1, length(stem) - 1)")))
-    counts = own.join(shorter, ["sheet", "base"], "left_anti").groupBy("sheet", F.length("stem").alias("len")).agg(F.count("*").alias("n"))
+    counts = own.join(tables.shuffled(shorter), ["sheet", "base"], "left_anti").groupBy("sheet", F.length("stem").alias("len")).agg(F.count("*").alias("n"))
     return counts.groupBy("sheet").agg(F.max_by("len", F.struct("n", -F.col("len"))).cast("int").alias("modal"))
 
 
@@ -55,12 +55,12 @@ def nearest(pairs: DataFrame, points: DataFrame, on: list[str], radius: float, f
     away = F.hypot(F.col("ox") - F.col("cx"), F.col("oy") - F.col("cy"))
     points = points.select(*on, "ox", "oy").distinct()
     counts = points.groupBy(*on).agg(F.count("*").alias("_n"))
-    known = pairs.join(counts, on)
-    sparse = known.filter(F.col("_n") <= few).drop("_n").join(points, on).groupBy(*pairs.columns).agg(F.min(away).alias("distance")).filter(F.col("distance") <= radius)
+    known = pairs.join(tables.shuffled(counts), on)
+    sparse = known.filter(F.col("_n") <= few).drop("_n").join(tables.shuffled(points), on).groupBy(*pairs.columns).agg(F.min(away).alias("distance")).filter(F.col("distance") <= radius)
     dense = counts.filter(F.col("_n") > few).select(*on)
     if dense.isEmpty():
         return sparse
-    dense = tables.stored(dense, "dense")
+    dense = tables.shuffled(tables.stored(dense, "dense"))
     points, open_ = tables.stored(points.join(dense, on, "left_semi"), "points"), tables.stored(pairs.join(dense, on, "left_semi"), "open")
     found = [sparse]
     for k in range(6, -1, -1):
@@ -68,11 +68,11 @@ def nearest(pairs: DataFrame, points: DataFrame, on: list[str], radius: float, f
         cell = lambda x, y, side=side: (F.floor(F.col(x) / side).alias("gx"), F.floor(F.col(y) / side).alias("gy"))
         around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
         looks = open_.select("*", *cell("cx", "cy")).withColumn("d", around).withColumns({"gx": F.col("gx") + F.col("d.i"), "gy": F.col("gy") + F.col("d.j")}).drop("d")
-        near = looks.join(points.select("*", *cell("ox", "oy")), [*on, "gx", "gy"]).groupBy(*pairs.columns).agg(F.min(away).alias("distance")).filter(F.col("distance") <= side)
+        near = looks.join(tables.shuffled(points.select("*", *cell("ox", "oy"))), [*on, "gx", "gy"]).groupBy(*pairs.columns).agg(F.min(away).alias("distance")).filter(F.col("distance") <= side)
         near = tables.stored(near, "near")
         found.append(near)
         if k:
-            open_ = tables.stored(open_.join(near.select(*pairs.columns), [*pairs.columns], "left_anti"), "open")
+            open_ = tables.stored(open_.join(tables.shuffled(near.select(*pairs.columns)), [*pairs.columns], "left_anti"), "open")
     return reduce(DataFrame.unionByName, found)
 
 
@@ -80,15 +80,15 @@ def corrections(tags: DataFrame, o: ReconcileOptions = ReconcileOptions()) -> Da
     """(drawing_id, id, field, before, after, kind, support): two rows per tag at most."""
     sub = tables.stored(subjects(tags, o), "subjects")  # narrow, and read by each of the joins below
     tokens, stems = token_support(sub), stem_support(sub)
-    marked = sub.join(tokens.select("sheet", "token", "support"), ["sheet", "token"]).join(modal_length(sub), "sheet", "left")
+    marked = sub.join(tables.shuffled(tokens.select("sheet", "token", "support")), ["sheet", "token"]).join(tables.shuffled(modal_length(sub)), "sheet", "left")
     odd = (F.col("stem") != "") & (F.length("stem") != F.coalesce("modal", F.lit(0)))
     marked = tables.stored(marked.withColumn("odd", odd).filter((F.col("support") <= o.weak_support) | F.col("odd")), "marked")
-    target = tokens.select("sheet", F.col("token").alias("to"), F.col("support").alias("to_support"), "first_seq").withColumn("stem", S.stem(F.col("to"))).join(stems, ["sheet", "stem"], "left").select("sheet", "to", F.coalesce("stem_support", "to_support").alias("evidence"), "first_seq")
+    target = tokens.select("sheet", F.col("token").alias("to"), F.col("support").alias("to_support"), "first_seq").withColumn("stem", S.stem(F.col("to"))).join(tables.shuffled(stems), ["sheet", "stem"], "left").select("sheet", "to", F.coalesce("stem_support", "to_support").alias("evidence"), "first_seq")
     # by token, not by tag; an equi-join on what one edit leaves of both, then the whole rule
     reading = marked.select("sheet", "token", "support", "odd").distinct().withColumn("key", F.explode(S.edit_keys(F.col("token"), False)))
-    found = reading.join(target.withColumn("key", F.explode(S.edit_keys(F.col("to"), True))), ["sheet", "key"]).filter(F.col("evidence") >= F.col("support") + F.when(F.col("odd"), 1).otherwise(o.support_margin))
+    found = reading.join(tables.shuffled(target.withColumn("key", F.explode(S.edit_keys(F.col("to"), True)))), ["sheet", "key"]).filter(F.col("evidence") >= F.col("support") + F.when(F.col("odd"), 1).otherwise(o.support_margin))
     found = found.withColumn("kind", S.correction_kind(F.col("token"), F.col("to"))).filter("kind IS NOT NULL").select("sheet", "token", "to", "kind", "evidence", "first_seq").distinct()
-    pairs = marked.select("sheet", "drawing_id", "id", "token", "cx", "cy").join(found, ["sheet", "token"])
+    pairs = marked.select("sheet", "drawing_id", "id", "token", "cx", "cy").join(tables.shuffled(found), ["sheet", "token"])
     other = sub.select("sheet", F.col("token").alias("to"), F.col("cx").alias("ox"), F.col("cy").alias("oy"))
     near = nearest(pairs, other, ["sheet", "to"], o.cluster_radius)
     best = near.withColumn("r", F.row_number().over(Window.partitionBy("sheet", "id").orderBy(F.desc("evidence"), "distance", "first_seq"))).filter("r = 1")
@@ -96,9 +96,9 @@ def corrections(tags: DataFrame, o: ReconcileOptions = ReconcileOptions()) -> Da
 
     # no reading of the suffix anywhere: inferred where the shape of the token forces one answer
     single = F.create_map(*[F.lit(x) for d, found in S.confusable_letters().items() if len(found) == 1 for x in (d, found[0])])
-    lone = marked.filter("letters = '' AND length(stem) = coalesce(modal, 0) + 1").join(best.select("sheet", "id"), ["sheet", "id"], "left_anti")
+    lone = marked.filter("letters = '' AND length(stem) = coalesce(modal, 0) + 1").join(tables.shuffled(best.select("sheet", "id")), ["sheet", "id"], "left_anti")
     lone = lone.withColumns({"base": F.expr("substring(stem, 1, length(stem) - 1)"), "letter": F.try_element_at(single, F.expr("substring(stem, length(stem), 1)"))}).filter("letter IS NOT NULL")
-    lone = lone.join(stems.withColumnRenamed("stem", "base"), ["sheet", "base"]).filter(F.col("stem_support") >= o.support_margin)
+    lone = lone.join(tables.shuffled(stems.withColumnRenamed("stem", "base")), ["sheet", "base"]).filter(F.col("stem_support") >= o.support_margin)
     other = sub.select("sheet", F.col("stem").alias("base"), F.col("cx").alias("ox"), F.col("cy").alias("oy"))
     lone = nearest(lone.select("sheet", "drawing_id", "id", "token", "base", "letter", "stem_support", "cx", "cy"), other, ["sheet", "base"], o.cluster_radius)
     inferred = lone.select("drawing_id", "id", F.col("token").alias("before"), F.concat("base", "letter").alias("after"), F.lit("suffix-inferred").alias("kind"), F.col("stem_support").alias("support"))
