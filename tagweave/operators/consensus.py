@@ -119,7 +119,7 @@ def reconcile(tags: DataFrame, o: ReconcileOptions = ReconcileOptions(), fixes:
     fixes = corrections(tags, o) if fixes is None else fixes
     pick = lambda f, c: F.max(F.when(F.col("field") == f, F.col(c)))
     by = fixes.groupBy("drawing_id", "id").agg(pick("loop", "before").alias("l0"), pick("loop", "after").alias("l1"), pick("loop", "kind").alias("lk"), pick("loop", "support").alias("ls"), pick("func", "before").alias("f0"), pick("func", "after").alias("f1"))
-    t = tags.join(by, ["drawing_id", "id"], "left")
+    t = tags.join(tables.shuffled(by), ["drawing_id", "id"], "left")
     any_, tail = F.col("l1").isNotNull() | F.col("f1").isNotNull(), lambda c: F.expr(f"substring({c}, length({c}), 1)")
     func, loop, suffix = F.coalesce("f1", "function_code"), F.when(F.col("l1").isNotNull(), S.stem(F.col("l1"))).otherwise(F.col("loop_number")), F.when(F.col("l1").isNotNull(), S.letters(F.col("l1"))).otherwise(F.col("suffix"))
     said = F.when(

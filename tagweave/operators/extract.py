@@ -86,7 +86,7 @@ def stacked_pairs(words: DataFrame, s: Settings = Settings()) -> DataFrame:
     shared = F.least(t["x1"], b["x1"]) - F.greatest(t["x0"], b["x0"])
     tall = F.greatest(t["y1"], b["y1"]) - F.least(t["y0"], b["y0"])
     fits = (t["word_seq"] != b["word_seq"]) & (gap >= s.min_gap) & (gap <= height * s.stack_gap_factor) & (width > 0) & (F.try_divide(shared, width) >= s.min_x_overlap) & (tall <= F.greatest(height, b["y1"] - b["y0"]) * s.max_stack_height)
-    return tops.join(lows, [*PAGE, "bucket"]).filter(fits).select(
+    return tops.join(tables.shuffled(lows), [*PAGE, "bucket"]).filter(fits).select(
         *PAGE, "bucket_seq", "side", t["word_seq"].alias("top_seq"), b["word_seq"].alias("bottom_seq"), t["text"].alias("top_text"), b["text"].alias("bottom_text"),
         F.least(t["x0"], b["x0"]).alias("x0"), F.least(t["y0"], b["y0"]).alias("y0"), F.greatest(t["x1"], b["x1"]).alias("x1"), F.greatest(t["y1"], b["y1"]).alias("y1"),
         F.least(t["confidence"], b["confidence"]).alias("confidence"), F.when((t["origin"] == "bubble") & (b["origin"] == "bubble"), "bubble").otherwise("page").alias("origin"),
@@ -115,8 +115,9 @@ def suppress(rows: DataFrame, group: tuple[str, ...], priority: list[Column], cl
     large = tables.stored(held.groupBy(*group).agg(F.count("*").alias("_n")).filter(F.col("_n") > fold).select(*group), "large")
     if large.isEmpty():
         return _folded(held.drop("_id"), group, priority, clash)
+    large = tables.shuffled(large)
     own = held.join(large, [*group], "left_semi")
-    return _folded(held.join(large, [*group], "left_anti").drop("_id"), group, priority, clash).unionByName(own.join(_beaten(own, group, priority, clash, place, same), "_id", "left_anti").drop("_id"))
+    return _folded(held.join(large, [*group], "left_anti").drop("_id"), group, priority, clash).unionByName(own.join(tables.shuffled(_beaten(own, group, priority, clash, place, same)), "_id", "left_anti").drop("_id"))
 
 
 def _folded(rows: DataFrame, group: tuple[str, ...], priority: list[Column], clash) -> DataFrame:
@@ -147,7 +148,7 @@ def _beaten(rows: DataFrame, group: tuple[str, ...], priority: list[Column], cla
     keys = [*group, "at", "gx", "gy"]
     left = scaled.select(*keys, F.col("level").alias("la"), F.col("rank").alias("ra"), F.col("row").alias("a"), F.col("_id").alias("hi"))
     right = scaled.withColumn("d", around).withColumns({"gx": F.col("gx") + F.col("d.i"), "gy": F.col("gy") + F.col("d.j")}).select(*keys, F.col("level").alias("lb"), F.col("rank").alias("rb"), F.col("row").alias("b"), F.col("_id").alias("lo"))
-    met = left.join(right, keys).filter((F.greatest("la", "lb") == F.col("at")) & (F.col("ra") < F.col("rb")) & clash(F.col("a"), F.col("b")))
+    met = left.join(tables.shuffled(right), keys).filter((F.greatest("la", "lb") == F.col("at")) & (F.col("ra") < F.col("rb")) & clash(F.col("a"), F.col("b")))
     pairs, out = tables.stored(met.select("hi", "lo"), "clashes"), [copies]
     while not pairs.isEmpty():
         won = pairs.select("hi").distinct().join(pairs.select(F.col("lo").alias("hi")).distinct(), "hi", "left_anti")

@@ -17,7 +17,7 @@ def plans(spark, monkeypatch, name):
     return [*seen, plan(df)]
 
 
-@pytest.mark.parametrize("name", ["correction_kinds", "corrections"])
+@pytest.mark.parametrize("name", ["correction_kinds", "corrections", "tags_reconciled"])
 def test_joins_of_growing_tables_broadcast_nothing(spark, monkeypatch, name):
     found = plans(spark, monkeypatch, name)
     assert any("SortMergeJoin" in p for p in found) and not any("Broadcast" in p for p in found)
