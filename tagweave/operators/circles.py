@@ -100,12 +100,23 @@ def detect(rasters: DataFrame, o: CircleOptions = CircleOptions()) -> DataFrame:
     return rasters.select("drawing_id", "page", "height", "width", "n_channels", "data").mapInPandas(run, "drawing_id string, page int, bubble_id long, cx int, cy int, r int")
 
 
-def hough_votes(edges: DataFrame, low: int, high: int, share: float = 0.20) -> DataFrame:
-    """edges (page, x, y, ux, uy, width, height) -> (page, r, cx, cy, votes) of cells with enough votes."""
+#: votes that a task counts, about
+TASK_VOTES = 500_000
+
+
+def hough_votes(edges: DataFrame, low: int, high: int, share: float = 0.20, task_votes: int = TASK_VOTES) -> DataFrame:
+    """edges (page, x, y, ux, uy, width, height) -> (page, r, cx, cy, votes) of cells with enough votes.
+
+    Most cells get one vote, so counts before the shuffle would hold nearly all votes of a file in one task.  Votes are dealt
+    by cell first, to as many tasks as their number asks for, and counted there; Spark doesn't unite those.  The edges are
+    read twice, to count them and to vote: give a stored table where they are costly.
+    """
+    tasks = max(1, -(-edges.count() * 2 * (high - low + 1) // task_votes))
     both = edges.select("*", F.explode(F.sequence(F.lit(low), F.lit(high))).alias("r")).select("*", F.explode(F.array(F.lit(1), F.lit(-1))).alias("sign"))
     at = both.select("page", "r", "width", "height", F.floor(F.col("x") + F.col("sign") * F.col("r") * F.col("ux") + 0.5).alias("cx"), F.floor(F.col("y") + F.col("sign") * F.col("r") * F.col("uy") + 0.5).alias("cy"))
-    inside = at.filter("cx >= 0 AND cx < width AND cy >= 0 AND cy < height")
-    return inside.groupBy("page", "r", "cx", "cy").agg(F.count("*").alias("votes")).filter(F.col("votes") >= F.floor(2 * math.pi * F.col("r") * share + 0.5))
+    cell = ["page", "r", "cx", "cy"]
+    inside = at.filter("cx >= 0 AND cx < width AND cy >= 0 AND cy < height").select(*cell).repartition(tasks, *cell)
+    return inside.groupBy(*cell).agg(F.count("*").alias("votes")).filter(F.col("votes") >= F.floor(2 * math.pi * F.col("r") * share + 0.5))
 
 
 def bucket_peaks(votes: DataFrame, bucket: int = 4) -> DataFrame:

@@ -3,6 +3,7 @@
 import pytest
 
 from tagweave import tables
+from tagweave.operators import circles
 from tagweave.plans import queries
 
 SMALL = "/root/testdata/sf0.001"
@@ -21,3 +22,12 @@ def plans(spark, monkeypatch, name):
 def test_joins_of_growing_tables_broadcast_nothing(spark, monkeypatch, name):
     found = plans(spark, monkeypatch, name)
     assert any("SortMergeJoin" in p for p in found) and not any("Broadcast" in p for p in found)
+
+
+def test_votes_are_counted_by_as_many_tasks_as_they_ask_for(spark):
+    edges = spark.sql(queries._EDGES, part=spark.read.parquet(f"{SMALL}/part.parquet"))
+    one, many = circles.hough_votes(edges, 18, 22), circles.hough_votes(edges, 18, 22, task_votes=100)
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.rindex("HashAggregate") < plan.index("Exchange")  # no counts before the shuffle
+    assert many.rdd.getNumPartitions() == -(-edges.count() * 10 // 100)
+    assert sorted(one.collect()) == sorted(many.collect()) and one.count() > 0
