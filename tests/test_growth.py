@@ -31,3 +31,8 @@ def test_votes_are_counted_by_as_many_tasks_as_they_ask_for(spark):
     assert plan.count("Exchange") == 1 and plan.rindex("HashAggregate") < plan.index("Exchange")  # no counts before the shuffle
     assert many.rdd.getNumPartitions() == -(-edges.count() * 10 // 100)
     assert sorted(one.collect()) == sorted(many.collect()) and one.count() > 0
+
+
+def test_circles_are_settled_from_votes_dealt_by_number(spark, monkeypatch):
+    found = plans(spark, monkeypatch, "circle_suppression")
+    assert any("REPARTITION_BY_NUM" in p for p in found) and not any("Broadcast" in p for p in found)
