@@ -3,6 +3,7 @@
 import pytest
 
 from tagweave import tables
+from tagweave.llm.tokens import Encoder, default_tokenizer
 from tagweave.operators import circles
 from tagweave.plans import queries
 
@@ -36,3 +37,15 @@ def test_votes_are_counted_by_as_many_tasks_as_they_ask_for(spark):
 def test_circles_are_settled_from_votes_dealt_by_number(spark, monkeypatch):
     found = plans(spark, monkeypatch, "circle_suppression")
     assert any("REPARTITION_BY_NUM" in p for p in found) and not any("Broadcast" in p for p in found)
+
+
+
+def test_pieces_stay_known_between_tasks():
+    coder = Encoder(default_tokenizer(), plain=True)
+    text = " ".join(f"w{i:06d}q" for i in range(120_000))  # as many distinct pieces
+    first = coder.encode([text])
+    n = len(coder.known)
+    Encoder._own["test", True] = coder
+    Encoder.rest()
+    del Encoder._own["test", True]
+    assert len(coder.known) == n > 100_000 and coder.encode([text]) == first
