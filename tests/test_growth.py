@@ -49,3 +49,21 @@ def test_pieces_stay_known_between_tasks():
     Encoder.rest()
     del Encoder._own["test", True]
     assert len(coder.known) == n > 100_000 and coder.encode([text]) == first
+
+
+def test_a_later_task_asks_the_library_for_new_pieces_only():
+    coder = Encoder(default_tokenizer(), plain=True)
+    text = " ".join(f"w{i:06d}q" for i in range(250_000))
+    first = coder.encode([text])
+    Encoder._own["test", True] = coder
+    Encoder.rest()
+    del Encoder._own["test", True]
+    model, asked = coder.model, []
+    coder.model = type("Model", (), {"tokenize": lambda self, name: (asked.append(name), model.tokenize(name))[1]})()
+    assert coder.encode([text, text + " new"]) == [first[0], first[0] + coder.whole(" new")] and len(asked) == 1
+
+
+def test_pieces_with_controls_are_the_librarys():
+    coder = Encoder(default_tokenizer(), plain=True)
+    texts = ["\x1cabc d\x1def", " \x1fa1 b", "a\x1e  b c9\x1d", "'sab's é\x1céa 12ab", "  abc\n\n d", " ", ""]
+    assert [coder.encode([t]) for t in texts * 2] == [[coder.whole(t)] for t in texts * 2]
