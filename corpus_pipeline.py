@@ -55,5 +55,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = common.stored(stage(spark, docs, sf_dir), name)
+        before, docs = docs, common.stored(stage(spark, docs, sf_dir), name)
+        common.dropped(before)
     return STAGES[-1][1](spark, docs, sf_dir)

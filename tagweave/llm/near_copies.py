@@ -161,8 +161,10 @@ def _recurring(docs: DataFrame, text_col: str) -> np.ndarray:
             yield handed()
 
     counts = _texts(docs, text_col).mapInArrow(c.tidy(run), "tok long, n long").groupBy("tok").agg(F.sum("n").alias("n")).filter("n > 2")
-    found = counts.orderBy(F.desc("n"), "tok").limit(RECUR).select("tok").toArrow()  # RECUR rows at most
-    return found.column("tok").to_numpy()[::-1].astype(np.int64).view(np.uint64)
+    top = c.stored(counts.orderBy(F.desc("n"), "tok").limit(RECUR), "recurring")
+    found = top.toArrow().sort_by([("n", "ascending"), ("tok", "descending")])  # RECUR rows at most
+    c.dropped(top)
+    return found.column("tok").to_numpy().astype(np.int64).view(np.uint64)
 
 
 def _shared(docs: DataFrame, text_col: str) -> DataFrame:
@@ -276,7 +278,9 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFram
     sets = _sets(docs, needed, needed.count())
     left = sets.toDF("a", "ta").join(_known(pairs, pairs.count()), "a")
     both = left.join(sets.toDF("b", "tb"), "b")
-    return c.stored(both.filter("9 * size(array_intersect(ta, tb)) >= 4 * (size(ta) + size(tb))").select("a", "b"), "verified")
+    found = c.stored(both.filter("9 * size(array_intersect(ta, tb)) >= 4 * (size(ta) + size(tb))").select("a", "b"), "verified")
+    c.dropped(pairs, needed, sets)
+    return found
 
 
 def choices(weights: list[int], most: int, limit: int) -> list[tuple[int, ...]] | None:
@@ -331,7 +335,9 @@ def _signatures(sets: DataFrame, limit: int) -> DataFrame:
                     rows += [(key, n, light, level, _signed(total - sum(h[i] for i in r)), size - sum(heavy[i]["n"] for i in r)) for r in left]
                 yield c.batch(schema, *[pa.array(col, pa.int64()) for col in zip(*rows)])
 
-    return c.stored(listed.mapInArrow(c.tidy(run), "key long, n long, light long, level long, sig long, size long"), "signatures")
+    found = c.stored(listed.mapInArrow(c.tidy(run), "key long, n long, light long, level long, sig long, size long"), "signatures")
+    c.dropped(each)
+    return found
 
 
 def _signed(x: int) -> int:
@@ -342,7 +348,9 @@ def _signed(x: int) -> int:
 def _composed(docs: DataFrame, open_: DataFrame, classes: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) among the classes of open_ (tok, key, root), and candidates (a, b)."""
     needed = _named(open_.select("key").distinct(), classes)
-    signed = _signatures(_sets(docs, needed, needed.count(), "open-sets"), limit)
+    sets = _sets(docs, needed, needed.count(), "open-sets")
+    signed = _signatures(sets, limit)
+    c.dropped(needed, sets)
     on = ["level", "sig", "size"]
     several = signed.filter("sig IS NOT NULL").groupBy(*on).agg(F.min(F.struct("n", "key")).alias("hub"), F.count("*").alias("w")).filter("w > 1")
     met = c.stored(c.heavy_join(signed.filter("sig IS NOT NULL"), several, on, "w", signed.count()), "met")
@@ -382,8 +390,10 @@ def links(docs: DataFrame, classes: DataFrame, text_col: str = "text", hubs: int
     first = _verified(texts, c.stored(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), "star"), classes)
     roots = c.stored(components(first), "roots")
     rooted = c.stored(shared.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")), "rooted")
+    c.dropped(shared, roots)
     mixed = c.stored(rooted.groupBy("tok").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("w")).filter("x <> y").select("tok", "w"), "mixed")
     open_ = c.stored(c.heavy_join(rooted, mixed, ["tok"], "w", total, few=TASK_ROWS), "open")
+    c.dropped(rooted, mixed)
     few = open_.filter(F.col("w") <= hot).join(classes.select("key", "signs"), "key")
     side = lambda x: few.select("tok", F.col("key").alias(x), F.col("n").alias("n" + x), F.col("at").alias("i" + x), F.col("signs").alias("s" + x), F.col("root").alias("r" + x))
     rest = side("a").join(side("b"), "tok").filter("ra < rb").filter(_FIRST).filter(_MAY).select("a", "b").distinct()
@@ -391,7 +401,9 @@ def links(docs: DataFrame, classes: DataFrame, text_col: str = "text", hubs: int
     if not crowded.isEmpty():
         composed, loose = _composed(texts, crowded, classes, limit)
         first, rest = first.union(composed), rest.union(loose).distinct()
-    return first.union(_verified(texts, c.stored(rest, "rest"), classes))
+    rest = c.stored(rest, "rest")
+    c.dropped(open_)
+    return first.union(_verified(texts, rest, classes))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -402,6 +414,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rooted = classes.join(roots, classes["key"] == roots["node"], "left").select(F.coalesce("root", "key").alias("root"), "least")
     stay = rooted.groupBy("root").agg(F.min("least").alias("k")).select(F.col("k.id").alias(key[0]), F.col("k.t").alias(key[1]))
     stay = c.stored(stay, "stay")
+    c.dropped(classes)
     keyed = docs.withColumns({key[0]: F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)), key[1]: F.xxhash64(F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")))})
     # rows equal in id and text are few, or else one key's rows meet as partial aggregates
     again = c.stored(keyed.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1").select(*key), "again")

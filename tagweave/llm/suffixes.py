@@ -217,10 +217,11 @@ def passages(docs: DataFrame, least: int = 50, gram: int = 16, id_col: str = "do
     """(doc_id, t, n_words, spans, removed): documents with repeated words; spans [s, e) with the number of removed words, and the removed ranges."""
     kept = c.stored(sample(docs, least, gram, id_col, text_col), "suffixes")
     text = ["t", "crc", "size"]
-    own = kept.select("id", *text, "n_words")
+    own = c.stored(kept.select("id", *text, "n_words"), "own")
     classes = c.stored(own.groupBy(*text).agg(F.min("id").alias("rep"), F.max("id").alias("other"), F.count("*").alias("n"), F.max("n_words").alias("n_words")), "texts")
     suffixes = kept.select("t", F.explode(F.arrays_zip("w", "h", "p")).alias("x")).select(F.col("x.w").alias("w"), F.col("x.h").alias("k"), F.col("t").alias("a"), F.lit(0).cast("long").alias("b"), F.col("x.p").alias("c"))
     matched = neighbours(suffixes).groupBy(F.col("a").alias("t")).agg(F.collect_set("c").alias("at"))  # no more than a text's own places
+    c.dropped(kept)
     wanted = matched.join(classes.select("t", F.col("rep").alias("id")), "t")
     keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL)).alias("id"), text_key(text_col)["t"].alias("t"), F.col(text_col).cast("binary").alias("text"))
 
@@ -246,6 +247,7 @@ def passages(docs: DataFrame, least: int = 50, gram: int = 16, id_col: str = "do
     runs = keyed.join(wanted, ["id", "t"]).select("id", "t", "text", "at").mapInArrow(c.tidy(extend), "id long, t long, h array<long>, g array<long>, p array<int>")
     runs = c.stored(runs.filter("size(h) > 0").select("id", "t", F.explode(F.arrays_zip("h", "g", "p")).alias("x")).select(F.col("x.h").alias("w"), F.col("x.g").alias("k"), F.col("id").alias("a"), F.col("t").alias("b"), F.col("x.p").alias("c")), "runs")
     found = neighbours(runs).groupBy(F.col("a").alias("id"), F.col("b").alias("t")).agg(F.collect_set(F.when(F.col("first"), F.col("c"))).alias("firsts"), F.collect_set(F.when(~F.col("first"), F.col("c"))).alias("others"))
+    c.dropped(runs)
     total = own.count()
     told = c.heavy_join(own, classes.drop("n_words"), text, "n", total)
     reps = told.filter("id = rep").dropDuplicates(["id", *text]).join(found, ["id", "t"], "left").filter((F.col("rep") != F.col("other")) & (F.col("n_words") >= least) | F.col("firsts").isNotNull())
